@@ -21,6 +21,7 @@ from ..config import MAX_RARE_FRACTION, MIN_EXPECTED_ROWS, RarityConfig
 CODE = "__code"
 ITEM_BASE = 1 << 32  # an item is column position * base + code
 WORD_BITS = 64
+FAN_OUT_PER_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -136,10 +137,14 @@ def count_groups(coded: DataFrame, groups: Sequence[ColumnSet], weight: str | No
     return picked.groupBy("grp", "key").agg(cnt.alias("cnt"))
 
 
-def count_cells(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan) -> DataFrame:
-    """``(pos, key, cnt)``: rows per cell of every examined column set (``pos`` is its position)."""
+def count_cells(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan,
+                dim: int | None = None) -> DataFrame:
+    """``(pos, key, cnt)``: rows per cell of every examined column set (``pos`` is its position),
+    or of those with ``dim`` columns only."""
     owned: list[list[int]] = [[] for _ in groups]
     for pos, s in enumerate(plan.sets):
+        if dim not in (None, s.dim):
+            continue
         owner = next(i for i, g in enumerate(groups) if set(s.members) <= set(g.members))
         owned[owner].append(pos)
 
@@ -147,10 +152,14 @@ def count_cells(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan
         at = dict(zip(g.members, g.places))
         return lambda m: f"((key div {at[m]}L) % {plan.sizes[m]}L)"
 
+    none = "cast(array() as array<bigint>)"
     branches = [f"WHEN {i} THEN array({', '.join(plan.sets[p].key_sql(digit(g)) for p in owned[i])})"
-                for i, g in enumerate(groups)]
-    names = "array(" + ", ".join(f"array({', '.join(map(str, o))})" for o in owned) + ")"
-    return (patterns.select("grp", "cnt", F.posexplode(F.expr(f"CASE grp {' '.join(branches)} END")).alias("at", "key"))
+                if owned[i] else f"WHEN {i} THEN {none}" for i, g in enumerate(groups)]
+    names = "array(" + ", ".join(f"cast(array({', '.join(map(str, o))}) as array<int>)" for o in owned) + ")"
+    # Few patterns fan out into many cells each, so they are spread before the fan-out.
+    fan_out = sum(min(plan.rows, g.product) * len(o) for g, o in zip(groups, owned))
+    tasks = max(1, min(fan_out // FAN_OUT_PER_TASK, patterns.sparkSession.sparkContext.defaultParallelism))
+    return (patterns.repartition(tasks).select("grp", "cnt", F.posexplode(F.expr(f"CASE grp {' '.join(branches)} END")).alias("at", "key"))
             .select(F.expr(f"get(get({names}, grp), at)").alias("pos"), "key", "cnt")
             .groupBy("pos", "key").agg(F.sum("cnt").alias("cnt")))
 

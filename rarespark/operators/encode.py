@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import RarityConfig
 from ..functions.columns import MISSING_TEXT, col, count_passed, present
@@ -23,10 +23,6 @@ def bin_edges(low: float, high: float, n_bins: int) -> list[float]:
     return [i * step + low for i in range(1, n_bins)]
 
 
-def bin_of(p: FeatureProfile, cfg: RarityConfig) -> Column:
-    return count_passed(p.number(), bin_edges(p.low, p.high, cfg.n_bins), strict=False)
-
-
 @dataclass
 class Domains:
     """What the analysed columns hold, and how to code rows."""
@@ -45,12 +41,17 @@ class Domains:
     def used(self) -> list[FeatureProfile]:
         return [p for p in self.profiles if self.kinds[p.name] != "-"]
 
-    def raw(self) -> list[Column]:
-        return [_raw_value(p, self.kinds[p.name], self.cfg).alias(f"__v{i}") for i, p in enumerate(self.used)]
+    def with_values(self, df: DataFrame) -> DataFrame:
+        """Adds ``__x{i}`` (the number) and ``__v{i}`` (bin or category text) per used column."""
+        kinds = {i: self.kinds[p.name] for i, p in enumerate(self.used)}
+        df = df.withColumns({f"__x{i}": p.number() for i, p in enumerate(self.used) if kinds[i] == "N"})
+        return df.withColumns({
+            f"__v{i}": count_passed(F.col(f"__x{i}"), bin_edges(p.low, p.high, self.cfg.n_bins), strict=False)
+            if kinds[i] == "N" else _category(p) for i, p in enumerate(self.used)})
 
     def code_rows(self, df: DataFrame) -> DataFrame:
         """Input rows with one code column per analysed column."""
-        return self._codes(df.select("*", *self.raw()))
+        return self._codes(self.with_values(df))
 
     def code_patterns(self) -> DataFrame:
         """Raw patterns with code columns and the row count ``cnt``."""
@@ -64,6 +65,10 @@ class Domains:
                 value = F.coalesce(value, F.lit(self.filled[p.name])) if p.name in self.filled else value
                 bins = self.bins[p.name]
                 code = value if bins == list(range(len(bins))) else _position(bins, value)
+            elif _kept_as_number(p):  # the label of missing values sorts after every number
+                texts = [t for t in c.labels if t != MISSING_TEXT]
+                known = F.lit([float(t) for t in texts]).cast(f"array<{p.dtype.simpleString()}>")
+                code = F.when(value.isNull(), len(texts)).otherwise((F.array_position(known, value) - 1).cast("int"))
             else:
                 value = F.coalesce(value, F.lit(MISSING_TEXT))
                 if c.size > LITERAL_LABELS:
@@ -75,19 +80,25 @@ class Domains:
                     code = _position(list(c.labels), value)
             codes[f"{CODE}{i}"] = code
         out = joined.withColumns(codes)
-        return out.drop(*[n for n in out.columns if n.startswith(("__v", "__k"))])
+        return out.drop(*[n for n in out.columns if n.startswith(("__v", "__k", "__x"))])
 
     def labels(self) -> Column:
         """Array of the row's labels, one per analysed column."""
         return F.array(*[F.get(F.lit(list(c.labels)), F.col(f"{CODE}{i}")) for i, c in enumerate(self.columns)])
 
 
-def _position(values: list, value: Column) -> Column:
-    return (F.array_position(F.lit(values), value) - 1).cast("int")
+def _kept_as_number(p: FeatureProfile) -> bool:
+    """Short lists of numbers are matched as numbers, which spares a text conversion per row."""
+    return isinstance(p.dtype, (T.FloatType, T.DoubleType, T.IntegerType, T.ShortType, T.ByteType)) and p.floor <= LITERAL_LABELS
 
 
-def _raw_value(p: FeatureProfile, kind: str, cfg: RarityConfig) -> Column:
-    return bin_of(p, cfg) if kind == "N" else present(p.name, p.dtype).cast("string")
+def _category(p: FeatureProfile) -> Column:
+    value = present(p.name, p.dtype)
+    return value if _kept_as_number(p) else value.cast("string")
+
+
+def _position(values: list, value: Column) -> Column:
+    return (F.array_position(F.lit(values), value) - 1).cast("int")
 
 
 def discover(df: DataFrame, features: Sequence[str], cfg: RarityConfig) -> Domains:
@@ -96,7 +107,7 @@ def discover(df: DataFrame, features: Sequence[str], cfg: RarityConfig) -> Domai
     Two passes over the input: bounds and ends of every column, then its values. If the column sizes
     promise few patterns, the second pass counts whole patterns, which also serve all later counting.
     """
-    rows, profiles = profile_features(df, features)
+    rows, profiles = profile_features(df, features, 2 * cfg.n_bins)
     exact: dict[str, tuple[int, int]] = {}
     while True:
         kinds = settle_kinds(profiles, cfg, exact)
@@ -106,7 +117,7 @@ def discover(df: DataFrame, features: Sequence[str], cfg: RarityConfig) -> Domai
             return found
         sizes = [(cfg.n_bins if kinds[p.name] == "N" else p.floor) + bool(p.missing) for p in used]
         number_gaps = [i for i, p in enumerate(used) if kinds[p.name] == "N" and p.missing]
-        values = df.select(*found.raw(), *[used[i].number().alias(f"__x{i}") for i in number_gaps])
+        values = found.with_values(df.select(*[col(p.name) for p in used]))
         if math.prod(max(s, 1) for s in sizes) <= cfg.max_group_patterns:
             found.patterns = stage(values.groupBy(*[f"__v{i}" for i in range(len(used))]).agg(
                 F.count("*").alias("cnt"),

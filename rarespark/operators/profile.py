@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import RarityConfig
-from ..functions.columns import (as_number, category_text, col, is_datetime, is_nested, is_numeric,
-                                 present, require_flat)
+from ..functions.columns import (NUMBER_PATTERN, as_number, category_text, col, is_datetime, is_nested,
+                                 is_numeric, present, require_flat)
 
 # Parts of a column name that suggest a date or time.
 DATETIME_NAME_HINTS = ("date", "time", "dt", "timestamp")
@@ -40,6 +41,7 @@ class FeatureProfile:
     numeric_floor: int
     low: float | None
     high: float | None
+    endless: bool  # some numbers are infinite
 
     @property
     def from_text(self) -> bool:
@@ -47,42 +49,66 @@ class FeatureProfile:
 
     def number(self) -> Column:
         """Value as a double with infinities pulled to the finite ends."""
-        x = as_number(present(self.name, self.dtype), self.dtype)
-        if not isinstance(self.dtype, (T.FloatType, T.DoubleType, T.StringType)):
+        value = present(self.name, self.dtype) if self.missing else col(self.name)
+        x = value.try_cast("double") if self.from_text else value.cast("double")
+        if not self.endless:
             return x
-        return F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(
-            F.least(F.greatest(x, F.lit(self.low)), F.lit(self.high)))
+        return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(self.low)), F.lit(self.high)))
 
     def text(self) -> Column:
         return category_text(present(self.name, self.dtype))
 
 
-def profile_features(df: DataFrame, features: Sequence[str]) -> tuple[int, list[FeatureProfile]]:
-    """Row count and first-look profile of every feature, in one pass without a data shuffle."""
+def profile_features(df: DataFrame, features: Sequence[str], few: int) -> tuple[int, list[FeatureProfile]]:
+    """Row count and first-look profile of every feature, in one pass without a data shuffle.
+
+    Text that may be numbers is looked at once more, but only where it could matter: more than
+    ``few`` values, and both its least and its greatest text read as a number.
+    """
     require_flat(df, features)
     types = {f.name: f.dataType for f in df.schema}
-    aggs = [F.count("*").alias("rows")]
-    for i, name in enumerate(features):
-        dtype = types[name]
-        value = present(name, dtype)
-        zeroed = value + F.lit(0.0) if isinstance(dtype, (T.FloatType, T.DoubleType)) else value
-        aggs += [F.count(value).alias(f"n{i}"), distinct_floor(zeroed).alias(f"d{i}")]
-        if is_numeric(dtype) or isinstance(dtype, T.StringType):
-            x = as_number(value, dtype)
-            finite = F.when(F.abs(x) < F.lit(float("inf")), x)
-            aggs += [F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
-        if isinstance(dtype, T.StringType):
-            aggs += [F.count(x).alias(f"p{i}"), distinct_floor(x + F.lit(0.0)).alias(f"q{i}")]
-    row = df.agg(*aggs).first().asDict()
+    text = [n for n in features if isinstance(types[n], T.StringType)]
+    first = _profile_pass(df, {n: present(n, types[n]) for n in features}, types)
+    maybe = [n for n in text if first[n]["floor"] > few and _reads_as_number(first[n]["lo"])
+             and _reads_as_number(first[n]["hi"])]
+    second = _profile_pass(
+        df, {n: as_number(col(n), types[n]) for n in maybe}, {n: T.DoubleType() for n in maybe}) if maybe else {}
     out = []
-    for i, name in enumerate(features):
-        dtype, n = types[name], row[f"n{i}"]
-        text = isinstance(dtype, T.StringType)
-        numeric = is_numeric(dtype) or (text and n > 0 and row[f"p{i}"] == n)
+    for n in features:
+        look = first[n]
+        numbers = second.get(n, {}) if n in text else look
+        numeric = is_numeric(types[n]) or bool(numbers and numbers["n"] == look["n"])
         out.append(FeatureProfile(
-            name, dtype, n, row["rows"] - n, row[f"d{i}"], numeric,
-            row[f"q{i}"] if text else row[f"d{i}"], row.get(f"lo{i}"), row.get(f"hi{i}")))
-    return row["rows"], out
+            n, types[n], look["n"], look["rows"] - look["n"], look["floor"], numeric,
+            numbers["floor"] if numeric else 0, numbers["lo"] if numeric else None,
+            numbers["hi"] if numeric else None, bool(numeric and numbers["finite"] < numbers["n"])))
+    return out[0].values + out[0].missing if out else 0, out
+
+
+def _reads_as_number(text: str | None) -> bool:
+    return text is not None and re.match(NUMBER_PATTERN, text) is not None
+
+
+def _profile_pass(df: DataFrame, values: dict[str, Column], types: dict[str, T.DataType]) -> dict[str, dict]:
+    """Counts, distinct floor and ends of the given expressions, in one aggregate."""
+    keys = {n: f"c{i}" for i, n in enumerate(values)}
+    flat = df.select(*[(v + F.lit(0.0) if isinstance(types[n], (T.FloatType, T.DoubleType)) else v).alias(keys[n])
+                       for n, v in values.items()])
+    aggs = [F.count("*").alias("rows")]
+    for n, k in keys.items():
+        x = F.col(k)
+        aggs += [F.count(x).alias("n" + k), distinct_floor(x).alias("floor" + k)]
+        if isinstance(types[n], (T.FloatType, T.DoubleType)):
+            x = F.when(F.abs(x) < F.lit(float("inf")), x).cast("double")
+            aggs.append(F.count(x).alias("finite" + k))
+        elif is_numeric(types[n]):
+            x = x.cast("double")
+        if is_numeric(types[n]) or isinstance(types[n], T.StringType):
+            aggs += [F.min(x).alias("lo" + k), F.max(x).alias("hi" + k)]
+    row = flat.agg(*aggs).first().asDict()
+    return {n: {"rows": row["rows"], "n": row["n" + k], "floor": row["floor" + k], "lo": row.get("lo" + k),
+                "hi": row.get("hi" + k), "finite": row.get("finite" + k, row["n" + k])}
+            for n, k in keys.items()}
 
 
 def settle_kinds(profiles: Sequence[FeatureProfile], cfg: RarityConfig,

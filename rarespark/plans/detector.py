@@ -100,22 +100,23 @@ class RarityResult:
 
     def cells(self) -> DataFrame:
         """Observed cells ``(pos, key, cnt)`` of every examined column set."""
-        return c.count_cells(self.patterns, self.groups, self.plan)
+        return self.observed.where(F.col("pos") < len(self.plan.sets))
 
     def _find(self, started: float) -> None:
         budget = self.cfg.max_execution_seconds
         if not budget:
+            self.observed = stage(c.count_cells(self.patterns, self.groups, self.plan))
             low = c.low_cells(self.cells(), self.plan)
         else:  # one job per dimension, so that the clock can be read in between
-            dims = F.expr(f"get({c.sql_list([s.dim for s in self.plan.sets], '')}, pos)")
-            observed, low = self.cells(), None
+            self.observed, low = None, None
             for d in range(1, self.plan.examined + 1):
                 if d > 1 and time.monotonic() - started > budget:
                     self.truncated = True
                     self.plan.limit_to(d - 1)
                     break
-                part = stage(c.low_cells(observed.where(dims == d), self.plan))
-                low = part if low is None else low.unionByName(part)
+                part = stage(c.count_cells(self.patterns, self.groups, self.plan, d))
+                self.observed = part if d == 1 else self.observed.unionByName(part)
+            low = c.low_cells(self.cells(), self.plan)
         self.flagged = stage(c.minimal_cells(low))
         for r in c.bit_words(self.flagged.select("pos", "key")).collect():
             self.words.setdefault(r["pos"], {})[r["word"]] = r["bits"]
