@@ -175,16 +175,18 @@ class RarityResult:
         rows = rows.withColumns({**upto, "Any Scored": F.col(TOTAL) > 0})
         return rows.drop(*[n for n in rows.columns if n.startswith("__")])
 
+    def coded_counts(self) -> DataFrame:
+        """Coded patterns with their row counts ``cnt``, or coded rows where patterns are too many."""
+        if self.plan is None:
+            return self.df.select(F.lit(1).cast("bigint").alias("cnt"))
+        if self.domains.patterns is not None:
+            return self.domains.code_patterns()
+        used = self.df.select(*[col(p.name) for p in self.domains.used])
+        return self.domains.code_rows(used).withColumn("cnt", F.lit(1).cast("bigint"))
+
     def weighted_scores(self) -> DataFrame:
-        """Counts per dimension with ``cnt`` rows each, from the patterns where they were counted."""
-        if self.plan is not None and self.domains.patterns is not None:
-            coded = self.domains.code_patterns()
-        elif self.plan is not None:
-            used = self.df.select(*[col(p.name) for p in self.domains.used])
-            coded = self.domains.code_rows(used).withColumn("cnt", F.lit(1).cast("bigint"))
-        else:
-            coded = self.df.select(F.lit(1).cast("bigint").alias("cnt"))
-        return self._scored(coded).select("cnt", *[f"{d}d Counts" for d in DIMS], TOTAL)
+        """Counts per dimension with ``cnt`` rows each."""
+        return self._scored(self.coded_counts()).select("cnt", *[f"{d}d Counts" for d in DIMS], TOTAL)
 
     # -- result tables ----------------------------------------------------------------------------
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,16 +26,23 @@ def build_session(app: str = "rarespark", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for staged tables; a local one is made only in local mode, if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
-        return
+        return sc.getCheckpointDir()
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         shared = tempfile.mkdtemp(prefix="rarespark-checkpoint-")
     sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -43,7 +51,7 @@ def stage(df: DataFrame) -> DataFrame:
     Used where several later jobs read the same derived table, so that they all see one snapshot
     and a lost executor costs a re-read instead of a recomputation.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
