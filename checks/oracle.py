@@ -1,7 +1,7 @@
-"""Independent SQL for the detector: one window count per column set, tested row by row.
+"""Independent SQL for the detector: cells as rows of one long table, with the rule spelled out.
 
-The engine counts patterns and looks rows up in bitmaps; this formulation counts with
-``count(*) OVER (PARTITION BY ...)`` and spells the rule out, so the two share nothing.
+The engine counts coded keys, finds minimal cells with joins and looks rows up in bitmaps; this
+formulation sums cells of text over a window and tests subsets per row, so they share nothing.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ class RareSql:
         """``coded``: ids, c{i} (value), l{i} (label); ``sizes``: n, u{i}."""
         numbers = [(i, f) for i, (f, kind) in enumerate(self.features) if kind == "N"]
         stats = ", ".join(f"min({f}) AS lo{i}, (max({f}) - min({f})) / {N_BINS}e0 AS st{i}, "
-                          f"quantile_cont({f}, 0.5) AS md{i}" for i, f in numbers) or "1 AS one"
+                          f"quantile_cont({f}, 0.5) AS md{i}" for i, f in numbers) or "count(*) AS one"
         parts = []
         for i, (f, kind) in enumerate(self.features):
             if kind == "N":
@@ -76,16 +76,45 @@ class RareSql:
                 f"coded AS (SELECT *, {labels} FROM coded0), "
                 f"sizes AS (SELECT count(*) AS n, {sizes} FROM coded0)")
 
+    @staticmethod
+    def mask(s: tuple) -> int:
+        return sum(1 << i for i in s)
+
+    def rare(self, threshold: float) -> str:
+        """The rule, over one pattern's cell: k rows of n, in a column set of ``dim`` and ``product``."""
+        f = "(k / CAST(n AS DOUBLE))"
+        out = [f"{f} < (1e0 / product) * {dbl(threshold)}", f"{f} < 0.01e0", "gate",
+               "(dim < 3 OR NOT (n * (1e0 / product) < 10))"]
+        if self.marginal:
+            out.append(f"(dim = 1 OR {f} < expected * {dbl(threshold)})")
+        return "(" + " AND ".join(out) + ")"
+
+    def counted_ctes(self) -> str:
+        """``pats``: distinct value patterns; ``counted``: their cells, one row per column set."""
+        cs, ls = (", ".join(f"{x}{i}" for i in range(self.n)) for x in "cl")
+        shares = ", ".join(f"sum(cnt) OVER (PARTITION BY c{i}) / CAST(n AS DOUBLE) AS p{i}" for i in range(self.n))
+        cells = " UNION ALL ".join(
+            f"SELECT pid, cnt, n, {self.mask(s)} AS s, {len(s)} AS dim, {' * '.join(f'u{i}' for i in s)} AS product, "
+            f"{' * '.join(f'p{i}' for i in s)} AS expected, {self.gate(len(s))} AS gate, "
+            f"concat_ws('|', {', '.join(f'c{i}' for i in s)}) AS cell FROM pats" for s in self.sets)
+        return (f"WITH {self.coded()}, grouped AS (SELECT {cs}, {ls}, count(*) AS cnt, row_number() OVER () AS pid "
+                f"FROM coded GROUP BY {cs}, {ls}), "
+                f"pats AS MATERIALIZED (SELECT grouped.*, sizes.*, {shares} FROM grouped, sizes), "
+                f"counted AS MATERIALIZED (SELECT *, sum(cnt) OVER (PARTITION BY s, cell) AS k FROM ({cells}))")
+
+    def pattern_ctes(self) -> str:
+        """``pf``: patterns with their row count and f_S (flagged) per column set S."""
+        flags = ", ".join(f"list_contains(fs, {self.mask(s)}) AS f_{self.tag(s)}" for s in self.sets)
+        return (f"{self.counted_ctes()}, lows AS (SELECT pid, list(s) AS ws FROM counted WHERE {self.rare(self.threshold)} GROUP BY pid), "
+                "minimal AS (SELECT pid, list_filter(ws, lambda s: len(list_filter(ws, lambda t: t <> s AND (t & s) = t)) = 0) AS fs FROM lows), "
+                "listed AS (SELECT pats.*, coalesce(fs, []) AS fs FROM pats LEFT JOIN minimal USING (pid)), "
+                f"pf AS MATERIALIZED (SELECT *, {flags} FROM listed)")
+
     def ctes(self) -> str:
-        """``flags``: coded rows with k_S (count), w_S (low) and f_S (flagged) per column set S."""
-        counts = ", ".join(f"count(*) OVER (PARTITION BY {', '.join(f'c{i}' for i in s)}) AS k_{self.tag(s)}"
-                           for s in self.sets)
-        lows = ", ".join(f"{self.low(s, 'k_' + self.tag(s))} AS w_{self.tag(s)}" for s in self.sets)
-        flags = ", ".join(
-            "(" + " AND ".join([f"w_{self.tag(s)}"] + [f"NOT w_{self.tag(t)}" for t in self.subsets(s)])
-            + f") AS f_{self.tag(s)}" for s in self.sets)
-        return (f"WITH {self.coded()}, counted AS (SELECT coded.*, sizes.*, {counts} FROM coded, sizes), "
-                f"lows AS (SELECT *, {lows} FROM counted), flags AS (SELECT *, {flags} FROM lows)")
+        """``flags``: input rows with the columns of their pattern."""
+        cs = ", ".join(f"c{i}" for i in range(self.n))
+        own = ", ".join(f"coded.{x}" for x in dict.fromkeys([*self.ids, *(f for f, _ in self.features)]))
+        return f"{self.pattern_ctes()}, flags AS (SELECT {own}, pf.* FROM coded JOIN pf USING ({cs}))"
 
     def count(self, d: int) -> str:
         """Flagged combinations of d columns in the row."""
@@ -113,9 +142,9 @@ class RareSql:
             names = "|".join(self.features[i][0] for i in s)
             vals = " || '|' || ".join(f"l{i}" for i in s)
             where = f"WHERE {flag}_{self.tag(s)}" if flag else ""
-            parts.append(f"SELECT '{names}' AS cols, {vals} AS vals, CAST(count(*) AS BIGINT) AS cnt, "
-                         f"round(count(*) / CAST(max(n) AS DOUBLE), 6) AS frac FROM flags {where} GROUP BY {vals}")
-        return f"{self.ctes()} " + " UNION ALL ".join(parts) + extra
+            parts.append(f"SELECT '{names}' AS cols, {vals} AS vals, CAST(sum(cnt) AS BIGINT) AS cnt, "
+                         f"round(sum(cnt) / CAST(max(n) AS DOUBLE), 6) AS frac FROM pf {where} GROUP BY {vals}")
+        return f"{self.pattern_ctes()} " + " UNION ALL ".join(parts) + extra
 
     def combination_counts(self) -> str:
         """Common and rare combinations over all possible ones, seen or not."""

@@ -42,7 +42,8 @@ def big(column, name: str):
 
 
 def r6(column, name: str):
-    return F.round(column if not isinstance(column, str) else col(column), 6).alias(name)
+    value = F.round(column if not isinstance(column, str) else col(column), 6)
+    return (value + F.lit(0.0)).alias(name)  # no negative zero
 
 
 # -- detector inputs ------------------------------------------------------------------------------
@@ -411,7 +412,7 @@ register("fe_log", "SELECT c_custkey, round(ln(1 + CASE WHEN c_acctbal < 0 THEN
     partial(_features, keep=["c_acctbal_log"], log_transform=["c_acctbal", "absent"]))
 register("fe_sqrt", "SELECT c_custkey, round(sqrt(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END), 6) AS c_acctbal_sqrt FROM customer")(
     partial(_features, keep=["c_acctbal_sqrt"], sqrt_transform=["c_acctbal"]))
-register("fe_interaction", "SELECT c_custkey, round(c_acctbal * c_nationkey, 6) AS c_acctbal_x_c_nationkey FROM customer")(
+register("fe_interaction", "SELECT c_custkey, round(c_acctbal * c_nationkey, 6) + 0e0 AS c_acctbal_x_c_nationkey FROM customer")(
     partial(_features, keep=["c_acctbal_x_c_nationkey"], interactions=[("c_acctbal", "c_nationkey")]))
 register("fe_ratio", "SELECT c_custkey, round(c_acctbal / nullif(c_nationkey, 0), 6) AS c_acctbal_div_c_nationkey FROM customer")(
     partial(_features, keep=["c_acctbal_div_c_nationkey"], ratios=[("c_acctbal", "c_nationkey")]))
@@ -535,9 +536,9 @@ def _subsumption_sql(o: RareSql) -> str:
     for s in o.sets:
         inside = " OR ".join(f"f_{o.tag(t)}" for t in o.subsets(s)) or "FALSE"
         parts.append(f"SELECT {len(s)} AS dim, count(*) AS cells, count(*) FILTER (WHERE inside) AS subsumed FROM "
-                     f"(SELECT {', '.join(f'c{i}' for i in s)}, bool_or({inside}) AS inside FROM flags WHERE f_{o.tag(s)} "
+                     f"(SELECT {', '.join(f'c{i}' for i in s)}, bool_or({inside}) AS inside FROM pf WHERE f_{o.tag(s)} "
                      f"GROUP BY {', '.join(f'c{i}' for i in s)})")
-    return (f"{o.ctes()}, per_set AS ({' UNION ALL '.join(parts)}) SELECT dim, CAST(sum(cells) AS BIGINT) AS cells, "
+    return (f"{o.pattern_ctes()}, per_set AS ({' UNION ALL '.join(parts)}) SELECT dim, CAST(sum(cells) AS BIGINT) AS cells, "
             "CAST(sum(subsumed) AS BIGINT) AS subsumed FROM per_set GROUP BY dim HAVING sum(cells) > 0")
 
 
@@ -689,12 +690,10 @@ _SWEPT = {t: RareSql(LINES_SQL, LINE_IDS, LINE_FEATURES, t, max_dims=2) for t in
 
 
 def _sweep_sql() -> str:
-    base = _SWEPT[0.05]
-    counted = base.ctes().split(", lows AS (")[0]
-    return counted + " " + " UNION ALL ".join(
-        f"SELECT CAST({t} AS DOUBLE) AS threshold, round(count(*) FILTER (WHERE "
-        + " OR ".join(o.low(s, "k_" + o.tag(s)) for s in o.sets) + ") * 100e0 / count(*), 6) AS flagged_pct FROM counted"
-        for t, o in _SWEPT.items())
+    parts = [f"SELECT CAST({t} AS DOUBLE) AS threshold, round((SELECT coalesce(sum(cnt), 0) FROM pats WHERE pid IN "
+             f"(SELECT pid FROM counted WHERE {o.rare(t)})) * 100e0 / (SELECT n FROM sizes), 6) AS flagged_pct"
+             for t, o in _SWEPT.items()]
+    return f"{_SWEPT[0.05].counted_ctes()} {' UNION ALL '.join(parts)}"
 
 
 @register("threshold_sweep", _sweep_sql())
