@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,9 @@ READABLE = (".csv", ".parquet", ".txt")
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+# Python's names for encodings that Spark spells differently.
+SPARK_ENCODINGS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
+
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 DECIMAL_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Infinity)\s*$"
 BOOLEAN_PATTERN = r"^(True|False|TRUE|FALSE|true|false)$"
@@ -49,6 +53,8 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8",
                    multi_line: bool = True) -> DataFrame:
+    encoding = codecs.lookup(encoding).name
+    encoding = SPARK_ENCODINGS.get(encoding, encoding)
     text = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=multi_line, escape='"',
                           inferSchema=False)
     text = text.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in text.columns])
