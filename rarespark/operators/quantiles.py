@@ -12,7 +12,7 @@ import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 1024
 SORT_LIMIT = 1 << 16  # values of one interval that may be sorted in one task
@@ -57,34 +57,38 @@ def _bucket(value: Column, low: float, high: float, log: bool) -> Column:
     return F.when(at < 0, 0).when(at >= BUCKETS, BUCKETS - 1).otherwise(at)
 
 
+def _inside(s: _Slice) -> Column:
+    return F.col(s.column).between(s.low, s.high)
+
+
 def _narrow(df: DataFrame, slices: list[_Slice]) -> list[_Slice]:
-    entries = F.array(*[
-        F.when(F.col(s.column).between(s.low, s.high),
-               F.struct(F.lit(i).alias("slice"),
-                        _bucket(F.col(s.column), s.low, s.high, s.log).alias("bucket"),
-                        F.col(s.column).alias("value")))
-        for i, s in enumerate(slices)])
-    counted = (df.select(F.explode(entries).alias("e")).where("e is not null")
+    """Replace intervals by the buckets that hold their ranks; only those buckets are read back."""
+    by_column: dict[str, Column] = {}
+    for i, s in enumerate(slices):  # intervals of one column do not overlap
+        entry = F.struct(F.lit(i).alias("slice"), _bucket(F.col(s.column), s.low, s.high, s.log).alias("bucket"),
+                         F.col(s.column).alias("value"))
+        known = by_column.get(s.column)
+        by_column[s.column] = F.when(_inside(s), entry) if known is None else known.when(_inside(s), entry)
+    counted = (df.select(F.explode(F.array(*by_column.values())).alias("e")).where("e is not null")
                .groupBy("e.slice", "e.bucket")
-               .agg(F.count("*").alias("n"), F.min("e.value").alias("lo"), F.max("e.value").alias("hi"))
-               .orderBy("slice", "bucket").collect())
+               .agg(F.count("*").alias("n"), F.min("e.value").alias("lo"), F.max("e.value").alias("hi")))
+    earlier = Window.partitionBy("slice").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.get(F.lit([s.below for s in slices]).cast("array<bigint>"), F.col("slice"))
+    wanted = F.get(F.lit([sorted(s.ranks) for s in slices]).cast("array<array<bigint>>"), F.col("slice"))
+    held = F.exists(wanted, lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n")))
     out = []
-    for i, s in enumerate(slices):
-        below = s.below
-        for row in (r for r in counted if r["slice"] == i):
-            inside = {r for r in s.ranks if below <= r < below + row["n"]}
-            if inside:  # a step that hardly narrowed is followed by one on the other axis
-                log = not s.log and row["n"] > s.count // 8
-                out.append(_Slice(s.column, row["lo"], row["hi"], below, row["n"], inside, log))
-            below += row["n"]
+    for row in (counted.withColumn("below", starts + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+                .where(held).collect()):
+        s, below, n = slices[row["slice"]], row["below"], row["n"]
+        log = not s.log and n > s.count // 8  # a step that hardly narrowed is followed by one on the other axis
+        out.append(_Slice(s.column, row["lo"], row["hi"], below, n, {r for r in s.ranks if below <= r < below + n}, log))
     return out
 
 
 def _sort_small(df: DataFrame, slices: list[_Slice], found: dict) -> None:
     aggs = []
     for i, s in enumerate(slices):
-        inside = F.when(F.col(s.column).between(s.low, s.high), F.col(s.column))
-        ranked = F.sort_array(F.collect_list(inside))
+        ranked = F.sort_array(F.collect_list(F.when(_inside(s), F.col(s.column))))
         aggs.append(F.array(*[F.get(ranked, F.lit(r - s.below)) for r in sorted(s.ranks)]).alias(f"s{i}"))
     row = df.agg(*aggs).first()
     for i, s in enumerate(slices):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from datetime import datetime, timezone
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,7 +34,8 @@ class RarityDetector:
                     id_cols: Sequence[str] | None = None) -> "RarityResult":
         """Run on ``features`` (default: all columns that are not ids).
 
-        Rows are identified by ``id_cols``; without any, a ``row_id`` is assigned and stored once.
+        Rows are identified by ``id_cols``. By default a ``row_id`` is assigned, and the table stored
+        once with it; ``id_cols=[]`` does without ids, and result tables then keep the input columns.
         """
         if len(set(df.columns)) < len(df.columns):
             raise ValueError("column names must be unique")
@@ -45,7 +45,7 @@ class RarityDetector:
         features = list(features) if features is not None else [n for n in df.columns if n not in ids]
         if not features:
             raise ValueError("select at least one feature")
-        if not ids:
+        if id_cols is None:
             df, ids = with_row_id(df), ["row_id"]
         elif self.config.stage_input:
             df = stage(df)
@@ -68,7 +68,8 @@ class RarityResult:
 
     def __init__(self, df: DataFrame, features: list[str], ids: list[str], cfg: RarityConfig):
         started = time.monotonic()
-        self.df, self.features, self.ids, self.cfg = df, features, ids, cfg
+        self.df, self.features, self.cfg = df, features, cfg
+        self.ids = ids or df.columns
         self.spark = df.sparkSession
         self.domains: Domains = discover(df, features, cfg)
         self.columns = self.domains.columns
@@ -117,7 +118,7 @@ class RarityResult:
                 part = stage(c.count_cells(self.patterns, self.groups, self.plan, d))
                 self.observed = part if d == 1 else self.observed.unionByName(part)
             low = c.low_cells(self.cells(), self.plan)
-        self.flagged = stage(c.minimal_cells(low))
+        self.flagged = c.minimal_cells(low)
         for r in c.bit_words(self.flagged.select("pos", "key")).collect():
             self.words.setdefault(r["pos"], {})[r["word"]] = r["bits"]
 

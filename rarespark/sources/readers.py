@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import col
 
@@ -23,11 +23,11 @@ BOOLEAN_PATTERN = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
 def load(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8",
-         multi_line: bool = True) -> DataFrame:
+         schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
     """Read a CSV, delimited TXT or Parquet file, or a folder named like one.
 
-    TXT files have their delimiter detected unless ``sep`` is given. ``multi_line=False`` lets Spark
-    split large text files, for data without line breaks inside quotes.
+    TXT files have their delimiter detected unless ``sep`` is given. Types are inferred in a pass of
+    its own unless ``schema`` is given.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     extension = name[name.rfind("."):] if "." in name else ""
@@ -37,7 +37,7 @@ def load(spark: SparkSession, path: str, sep: str | None = None, encoding: str =
         return spark.read.parquet(path)
     if sep is None:
         sep = sniff_separator(spark, path) if extension == ".txt" else ","
-    return read_delimited(spark, path, sep, encoding, multi_line)
+    return read_delimited(spark, path, sep, encoding, schema, multi_line)
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -51,14 +51,30 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     raise ValueError(f"could not detect the delimiter of {path}; give it as sep")
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some record may hold a line break: then a line has an odd number of quotes.
+
+    Without such records Spark may split large files; with them every file is read by one task.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8",
-                   multi_line: bool = True) -> DataFrame:
+                   schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Read delimited text; ``multi_line`` (line breaks inside quotes) is found out if not given."""
     encoding = codecs.lookup(encoding).name
     encoding = SPARK_ENCODINGS.get(encoding, encoding)
+    if multi_line is None:
+        multi_line = encoding.startswith(("utf-16", "utf-32")) or spans_lines(spark, path)
     text = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=multi_line, escape='"',
                           inferSchema=False)
     text = text.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in text.columns])
-    return infer_types(text)
+    if schema is None:
+        return infer_types(text)
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema)}
+    return text.select(*[F.trim(col(c)).cast(types[c]).alias(c) if not isinstance(types[c], T.StringType) else col(c)
+                         for c in text.columns if c in types])
 
 
 def infer_types(text: DataFrame) -> DataFrame:

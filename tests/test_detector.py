@@ -191,6 +191,14 @@ def test_one_usable_column(spark):
     assert "Less than two columns" in run.run_summary()
 
 
+def test_without_ids_results_keep_the_input(spark, staff_run):
+    df = staff(spark).drop("row_id")
+    scores = RarityDetector().fit_predict(df, id_cols=[]).scores()
+    assert scores.columns == [*df.columns, "TOTAL SCORE"]
+    want = staff_run.most_flagged().select(*scores.columns)
+    assert scores.where(F.col("TOTAL SCORE") > 0).exceptAll(want).isEmpty() and scores.count() == 600
+
+
 def test_no_rows(spark):
     run = RarityDetector().fit_predict(staff(spark).limit(0), id_cols=["row_id"])
     assert run.scores().count() == 0

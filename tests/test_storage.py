@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from rarespark.functions.text import reason_lines, safe_label, sanitize_for_spreadsheet
 from rarespark.plans import compare
 from rarespark.sources.catalog import Catalog, table_fingerprint
-from rarespark.sources.readers import load
+from rarespark.sources.readers import load, spans_lines
 from rarespark.sources.writers import export, export_result
 from rarespark import RarityDetector
 
@@ -23,6 +23,15 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1, 1.5, 'a, "q"\nline', True, "2024-01-01"), (None, None, "b", False, None), (3, 1000.0, None, True, "2024-01-02")]
 
 
+def test_split_reading_and_given_types(spark, tmp_path):
+    plain = write(tmp_path / "p.csv", 'a,b\n1,"x, y"\n2,"say ""hi"""\n')
+    broken = write(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n')
+    assert not spans_lines(spark, plain) and spans_lines(spark, broken)
+    assert load(spark, plain).orderBy("a").collect()[1]["b"] == 'say "hi"'
+    assert load(spark, broken).first()["b"] == "x\ny"
+    assert load(spark, plain, schema="a double, b string").dtypes == [("a", "double"), ("b", "string")]
+
+
 def test_separators_and_encodings(spark, tmp_path):
     assert load(spark, write(tmp_path / "b.csv", "a;b\n1;x\n"), sep=";").first() == (1, "x")
     assert load(spark, write(tmp_path / "c.TXT", "a|b\n1|x\n2|y\n")).columns == ["a", "b"]
