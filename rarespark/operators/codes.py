@@ -19,7 +19,8 @@ def rank_values(values: DataFrame) -> DataFrame:
     the sizes of the ranges before them.
     """
     values = stage(values)
-    if values.count() <= RANK_IN_ONE_TASK:
+    size = values.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
+    if size["n"] <= RANK_IN_ONE_TASK and (size["bytes"] or 0) <= BROADCAST_BYTES:
         return values.withColumn("code", F.row_number().over(Window.partitionBy("at").orderBy("value")) - 1)
     ranged = stage(values.repartitionByRange("at", "value").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("at", "part").agg(F.count("*").alias("n"))

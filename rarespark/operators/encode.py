@@ -128,7 +128,8 @@ def discover(df: DataFrame, features: Sequence[str], cfg: RarityConfig) -> Domai
             if kinds[p.name] == "C":
                 texts = listed[i]["texts"]
                 if texts is None:
-                    exact[p.name] = (listed[i]["distinct"], p.numeric_floor)
+                    seen = listed[i]["distinct"]
+                    exact[p.name] = (seen, seen if p.numeric and not p.from_text else p.numeric_floor)
                 else:
                     numbers = len({float(t) for t in texts}) if p.numeric else 0
                     exact[p.name] = (len(texts) if p.from_text or not p.numeric else numbers, numbers)
@@ -162,7 +163,7 @@ def _list_values(found: Domains, values: DataFrame, number_gaps: list[int]) -> l
     totals: dict[int, int] = {}
     if len(rows) > bound:  # some column holds more values than its lower bound suggested
         totals = {r["at"]: r["n"] for r in counted.groupBy("at").agg(F.count("value").alias("n")).collect()}
-        keep = [i for i in range(len(used)) if totals[i] <= cap or used[i].numeric]
+        keep = [i for i in range(len(used)) if totals[i] <= cap or (used[i].numeric and used[i].from_text)]
         rows = counted.where(F.col("at").isin(keep)).collect()
         totals = {i: n for i, n in totals.items() if i not in keep}
     listed = [{"counts": {}, "ends": {}, "missing": 0, "distinct": totals.get(i)} for i in range(len(used))]

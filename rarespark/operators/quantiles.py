@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 1024
-SORT_LIMIT = 1 << 16  # values of one interval that may be sorted in one task
+SORT_LIMIT = 1 << 18  # values that may be sorted in one task, all intervals together
 
 
 @dataclass
@@ -104,7 +104,8 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, set[int]], bounds: Mappi
         for s in open_:
             s.settle(found)
         open_ = [s for s in open_ if s.ranks]
-        small, large = [s for s in open_ if s.count <= sort_limit], [s for s in open_ if s.count > sort_limit]
+        limit = max(sort_limit // max(len(open_), 1), 1)
+        small, large = [s for s in open_ if s.count <= limit], [s for s in open_ if s.count > limit]
         if not large:
             break
         open_ = small + _narrow(df, large)
