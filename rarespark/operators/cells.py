@@ -16,12 +16,13 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import MAX_RARE_FRACTION, MIN_EXPECTED_ROWS, RarityConfig
+from ..config import MAX_DIMENSIONS, MAX_RARE_FRACTION, MIN_EXPECTED_ROWS, RarityConfig
 
 CODE = "__code"
 ITEM_BASE = 1 << 32  # an item is column position * base + code
 WORD_BITS = 64
 FAN_OUT_PER_TASK = 100_000
+DIGITS = range(MAX_DIMENSIONS)
 
 
 @dataclass(frozen=True)
@@ -63,10 +64,6 @@ class ColumnSet:
         return f"cast({' + '.join(terms)} as bigint)"
 
 
-def sql_list(values: Sequence, suffix: str) -> str:
-    return "array(" + ", ".join(f"{v!r}{suffix}" for v in values) + ")"
-
-
 @dataclass
 class CellPlan:
     """Which column sets are examined, in explanation order, and how they are grouped for counting."""
@@ -125,6 +122,13 @@ class CellPlan:
         return [ColumnSet.of(sorted(g), self.sizes) for g in packed]
 
 
+def set_table(spark: SparkSession, plan: CellPlan) -> DataFrame:
+    """The examined column sets as a (small, gate-bounded) table."""
+    rows = [(pos, s.dim, 1.0 / s.product, s.product, list(s.members), list(s.places)) for pos, s in enumerate(plan.sets)]
+    return F.broadcast(spark.createDataFrame(
+        rows, "pos int, dim int, uniform double, product bigint, members array<int>, places array<bigint>"))
+
+
 def count_groups(coded: DataFrame, groups: Sequence[ColumnSet], weight: str | None = None) -> DataFrame:
     """``(grp, key, cnt)``: rows per pattern of every column group, combined map-side."""
     cnt = F.sum(weight) if weight else F.count("*")
@@ -137,65 +141,79 @@ def count_groups(coded: DataFrame, groups: Sequence[ColumnSet], weight: str | No
     return picked.groupBy("grp", "key").agg(cnt.alias("cnt"))
 
 
+def fan_out(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, dim: int | None = None) -> DataFrame:
+    """Patterns ``(grp, key, cnt)`` with their cells ``(pos, cell)``: one row per column set a group owns.
+
+    The sets come as a broadcast table joined on the group. A cell's key moves the digits of the
+    set's columns from their places in the pattern key to their places in the set.
+    """
+    rows, fans = [], 0
+    members = [set(g.members) for g in groups]
+    owners = [next(i for i, m in enumerate(members) if m.issuperset(s.members)) for s in plan.sets]
+    for pos, (s, owner) in enumerate(zip(plan.sets, owners)):
+        if dim in (None, s.dim):
+            at = dict(zip(groups[owner].members, groups[owner].places))
+            digits = [(at[m], plan.sizes[m], place) for m, place in zip(s.members, s.places)]
+            digits += [(1, 1, 0)] * (len(DIGITS) - s.dim)
+            rows.append((owner, pos, *[x for digit in digits for x in digit]))
+            fans += min(plan.rows, groups[owner].product)
+    names = ", ".join(f"from{i} bigint, size{i} bigint, to{i} bigint" for i in DIGITS)
+    sets = patterns.sparkSession.createDataFrame(rows, f"grp int, pos int, {names}")
+    # Few patterns fan out into many cells each, so they are spread before the fan-out.
+    tasks = max(1, min(fans // FAN_OUT_PER_TASK, patterns.sparkSession.sparkContext.defaultParallelism))
+    cell = " + ".join(f"((key div from{i}) % size{i}) * to{i}" for i in DIGITS[:max(s.dim for s in plan.sets)])
+    return patterns.repartition(tasks).join(F.broadcast(sets), "grp").select(
+        "grp", "key", "cnt", "pos", F.expr(cell).alias("cell"))
+
+
 def count_cells(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan,
                 dim: int | None = None) -> DataFrame:
     """``(pos, key, cnt)``: rows per cell of every examined column set (``pos`` is its position),
     or of those with ``dim`` columns only."""
-    owned: list[list[int]] = [[] for _ in groups]
-    for pos, s in enumerate(plan.sets):
-        if dim not in (None, s.dim):
-            continue
-        owner = next(i for i, g in enumerate(groups) if set(s.members) <= set(g.members))
-        owned[owner].append(pos)
-
-    def digit(g: ColumnSet):
-        at = dict(zip(g.members, g.places))
-        return lambda m: f"((key div {at[m]}L) % {plan.sizes[m]}L)"
-
-    none = "cast(array() as array<bigint>)"
-    branches = [f"WHEN {i} THEN array({', '.join(plan.sets[p].key_sql(digit(g)) for p in owned[i])})"
-                if owned[i] else f"WHEN {i} THEN {none}" for i, g in enumerate(groups)]
-    names = "array(" + ", ".join(f"cast(array({', '.join(map(str, o))}) as array<int>)" for o in owned) + ")"
-    # Few patterns fan out into many cells each, so they are spread before the fan-out.
-    fan_out = sum(min(plan.rows, g.product) * len(o) for g, o in zip(groups, owned))
-    tasks = max(1, min(fan_out // FAN_OUT_PER_TASK, patterns.sparkSession.sparkContext.defaultParallelism))
-    return (patterns.repartition(tasks).select("grp", "cnt", F.posexplode(F.expr(f"CASE grp {' '.join(branches)} END")).alias("at", "key"))
-            .select(F.expr(f"get(get({names}, grp), at)").alias("pos"), "key", "cnt")
-            .groupBy("pos", "key").agg(F.sum("cnt").alias("cnt")))
+    return (fan_out(patterns, groups, plan, dim).groupBy("pos", F.col("cell").alias("key"))
+            .agg(F.sum("cnt").alias("cnt")))
+
+
+def pattern_hits(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, flagged: DataFrame) -> DataFrame:
+    """``(grp, key, hits)``: the flagged column sets of every pattern that has any, by position."""
+    cells = flagged.select("pos", F.col("key").alias("cell"))
+    return (fan_out(patterns, groups, plan).join(cells, ["pos", "cell"])
+            .groupBy("grp", "key").agg(F.array_sort(F.collect_set("pos")).alias("hits")))
 
 
 def all_cells(spark: SparkSession, plan: CellPlan, observed: DataFrame) -> DataFrame:
     """Observed cells plus the ones no row falls into (count 0), for every examined set."""
-    products = sql_list([s.product for s in plan.sets], "L")
-    every = spark.range(len(plan.sets)).select(
-        F.col("id").cast("int").alias("pos"), F.explode(F.expr(f"sequence(0L, get({products}, int(id)) - 1L)")).alias("key"))
+    every = set_table(spark, plan).select("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("product") - 1)).alias("key"))
     return every.join(observed, ["pos", "key"], "left").select("pos", "key", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
+def with_items(cells: DataFrame, plan: CellPlan) -> DataFrame:
+    """Cells with their ``items``, one number per column and code."""
+    sizes = "array(" + ", ".join(f"{u}L" for u in plan.sizes) + ")"
+    return cells.withColumn("items", F.expr(
+        f"zip_with(members, places, (m, p) -> m * {ITEM_BASE}L + (key div p) % get({sizes}, m))"))
+
+
 def low_cells(cells: DataFrame, plan: CellPlan, threshold: float | None = None) -> DataFrame:
     """Cells below the rarity limits, as ``(pos, dim, key, items, cnt, frac)``."""
-    threshold = plan.cfg.threshold if threshold is None else threshold
-    sets = plan.sets
-    frac = F.col("cnt") / F.lit(float(plan.rows))
-    uniform = F.expr(f"get({sql_list([1.0 / s.product for s in sets], 'D')}, pos)") * F.lit(float(threshold))
-    out = (cells.select("*", frac.alias("frac"))
-           .where((F.col("frac") < uniform) & (F.col("frac") < F.lit(MAX_RARE_FRACTION)))
-           .select("pos", F.expr(f"get({sql_list([s.dim for s in sets], '')}, pos)").alias("dim"),
-                   "key", F.expr(_items_sql(plan)).alias("items"), "cnt", "frac"))
+    threshold = F.lit(float(plan.cfg.threshold if threshold is None else threshold))
+    out = cells.join(set_table(cells.sparkSession, plan), "pos").withColumn("frac", F.col("cnt") / F.lit(float(plan.rows)))
+    out = out.where((F.col("frac") < F.col("uniform") * threshold) & (F.col("frac") < F.lit(MAX_RARE_FRACTION)))
+    out = with_items(out, plan)
     if plan.cfg.check_marginal_probs:
-        shares = "array(" + ", ".join(sql_list([c / plan.rows for c in column.counts], "D") for column in plan.columns) + ")"
-        expected = F.expr(
-            f"aggregate(items, 1D, (acc, it) -> acc * get(get({shares}, int(it div {ITEM_BASE}L)), int(it % {ITEM_BASE}L)))")
-        out = out.where((F.col("dim") == 1) | (F.col("frac") < expected * F.lit(float(threshold))))
-    return out
-
-
-def _items_sql(plan: CellPlan) -> str:
-    members = "array(" + ", ".join(sql_list(s.members, "") for s in plan.sets) + ")"
-    places = "array(" + ", ".join(sql_list(s.places, "L") for s in plan.sets) + ")"
-    sizes = sql_list(plan.sizes, "L")
-    return (f"zip_with(get({members}, pos), get({places}, pos), "
-            f"(m, p) -> m * {ITEM_BASE}L + (key div p) % get({sizes}, m))")
+        shares = F.lit([[n / plan.rows for n in column.counts] for column in plan.columns])
+        expected = F.aggregate("items", F.lit(1.0), lambda acc, it: acc * F.get(
+            F.get(shares, item_column(it)), item_code(it)))
+        out = out.where((F.col("dim") == 1) | (F.col("frac") < expected * threshold))
+    return out.select("pos", "dim", "key", "items", "cnt", "frac")
+
+
+def item_column(item):
+    return F.shiftright(item, 32).cast("int")
+
+
+def item_code(item):
+    return (item % F.lit(ITEM_BASE)).cast("int")
 
 
 def minimal_cells(low: DataFrame) -> DataFrame:

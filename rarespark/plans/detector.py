@@ -17,6 +17,8 @@ from ..session import stage, with_row_id
 
 REASONS = "array<struct<cols:array<string>,vals:array<string>>>"
 DIMS = range(1, 7)
+LITERAL_SETS = 128  # column sets whose bitmaps are written into the score projection
+BROADCAST_BYTES = 256 << 20  # measured size of a table of hit patterns that may be broadcast
 TOTAL = "TOTAL SCORE"
 
 
@@ -121,15 +123,40 @@ class RarityResult:
         self.flagged = c.minimal_cells(low)
         for r in c.bit_words(self.flagged.select("pos", "key")).collect():
             self.words.setdefault(r["pos"], {})[r["word"]] = r["bits"]
+        self.hits = None
+        if len(self.words) > LITERAL_SETS:
+            self.hits = stage(c.pattern_hits(self.patterns, self.groups, self.plan, self.flagged))
+            self.hit_rows = {r["grp"]: r["bytes"] for r in self.hits.groupBy("grp").agg(
+                F.sum(F.size("hits") * 4 + 32).alias("bytes")).collect()}
 
     # -- scoring ----------------------------------------------------------------------------------
 
-    def _hits(self, coded: DataFrame, words: dict[int, dict[int, int]] | None = None) -> DataFrame:
-        words = self.words if words is None else words
-        return coded.select("*", *[
-            F.expr(c.hit_sql(self.plan.sets[pos], words[pos])).alias(f"__hit{pos}") for pos in sorted(words)])
+    def _hits(self, coded: DataFrame) -> DataFrame:
+        """Adds what was hit: a 0/1 column per column set, or one array where there are many sets."""
+        if self.hits is None:
+            return coded.select("*", *[F.expr(c.hit_sql(self.plan.sets[pos], words)).alias(f"__hit{pos}")
+                                       for pos, words in sorted(self.words.items())])
+        found = []
+        for g, size in sorted(self.hit_rows.items()):
+            one = self.hits.where(F.col("grp") == g).select(F.col("key").alias(f"__key{g}"), F.col("hits").alias(f"__found{g}"))
+            one = F.broadcast(one) if size <= BROADCAST_BYTES else one
+            key = F.expr(self.groups[g].key_sql()).alias(f"__key{g}")
+            coded = coded.select("*", key).join(one, f"__key{g}", "left")
+            found.append(F.coalesce(F.col(f"__found{g}"), F.array().cast("array<int>")))
+        return coded.withColumn("__hits", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
+
+    def _dim_hits(self, d: int) -> Column:
+        """Positions hit among the sets of ``d`` columns, in order (sets are listed by size)."""
+        first = sum(s.dim < d for s in self.plan.sets)
+        last = first + sum(s.dim == d for s in self.plan.sets)
+        if self.hits is not None:
+            return F.filter("__hits", lambda p: (p >= first) & (p < last))
+        marks = [F.when(F.col(f"__hit{pos}") == 1, pos) for pos in sorted(self.words) if first <= pos < last]
+        return F.array_compact(F.array(*marks))
 
     def _counts(self) -> dict[int, Column]:
+        if self.hits is not None:
+            return {d: F.when(F.size("__hits") > 0, F.size(self._dim_hits(d))).otherwise(0).cast("bigint") for d in DIMS}
         by_dim: dict[int, list[Column]] = {d: [] for d in DIMS}
         for pos in sorted(self.words):
             by_dim[self.plan.sets[pos].dim].append(F.col(f"__hit{pos}"))
@@ -148,16 +175,19 @@ class RarityResult:
         if self.plan is None or not self.plan.checked[d]:
             return F.lit(None).cast(REASONS)
         none = F.array().cast(REASONS)
-        sets = [(pos, self.plan.sets[pos]) for pos in sorted(self.words) if self.plan.sets[pos].dim == d]
-        if not sets:
+        used = [pos for pos in sorted(self.words) if self.plan.sets[pos].dim == d]
+        if not used:
             return none
-        hit = ", ".join(f"if(`__hit{pos}` = 1, {i}, null)" for i, (pos, _) in enumerate(sets))
-        members = "array(" + ", ".join(c.sql_list(s.members, "") for _, s in sets) + ")"
-        listed = F.expr(
-            f"transform(array_compact(array({hit})), i -> struct("
-            f"transform(get({members}, i), m -> get(`__names`, m)) as cols, "
-            f"transform(get({members}, i), m -> get(`__labels`, m)) as vals))")
-        return F.when(F.col(f"{d}d Counts") > 0, listed).otherwise(none)
+        # Literal: which columns a set position stands for, for the positions in use.
+        members = F.expr("array(" + ", ".join(f"array({', '.join(map(str, self.plan.sets[p].members))})" for p in used) + ")")
+        index = F.expr("array(" + ", ".join(map(str, used)) + ")")
+
+        def reason(p: Column) -> Column:
+            columns = F.get(members, (F.array_position(index, p) - 1).cast("int"))
+            return F.struct(F.transform(columns, lambda m: F.get(F.col("__names"), m)).alias("cols"),
+                            F.transform(columns, lambda m: F.get(F.col("__labels"), m)).alias("vals"))
+
+        return F.when(F.col(f"{d}d Counts") > 0, F.transform(self._dim_hits(d), reason)).otherwise(none)
 
     def scored_rows(self) -> DataFrame:
         """Input rows with counts per dimension, reasons, flags and the total score."""
@@ -232,29 +262,24 @@ class RarityResult:
 
     # -- rare values and run metrics --------------------------------------------------------------
 
-    def cell_table(self, cells: DataFrame) -> DataFrame:
+    def cell_table(self, cells: DataFrame, dim: int | None = None) -> DataFrame:
         """Cells ``(pos, key, cnt)`` in readable form: dim, columns, values, rows, fraction."""
-        plan = self.plan
         labels = F.lit([list(x.labels) for x in self.columns])
-        item = lambda it: (it / c.ITEM_BASE).cast("int")
-        code = lambda it: (it % c.ITEM_BASE).cast("int")
         names = F.lit([x.name for x in self.columns])
-        items = F.expr(c._items_sql(plan))
-        return cells.withColumn("items", items).select(
-            F.size("items").alias("dim"),
-            F.transform("items", lambda it: F.get(names, item(it))).alias("cols"),
-            F.transform("items", lambda it: F.get(F.get(labels, item(it)), code(it))).alias("vals"),
+        sets = c.set_table(self.spark, self.plan)
+        placed = cells.join(sets if dim is None else sets.where(F.col("dim") == dim), "pos")
+        return c.with_items(placed, self.plan).select(
+            "dim", F.transform("items", lambda it: F.get(names, c.item_column(it))).alias("cols"),
+            F.transform("items", lambda it: F.get(F.get(labels, c.item_column(it)), c.item_code(it))).alias("vals"),
             "cnt", (F.col("cnt") / F.lit(float(self.rows))).alias("frac"))
 
     def rare_cells(self, dim: int | None = None) -> DataFrame:
         """Flagged combinations with their row counts."""
-        found = self.flagged if dim is None else self.flagged.where(F.col("dim") == dim)
-        return self.cell_table(found.select("pos", "key", "cnt"))
+        return self.cell_table(self.flagged.select("pos", "key", "cnt"), dim)
 
     def fractions(self, dim: int) -> DataFrame:
         """Observed combinations of ``dim`` columns with their fractions."""
-        at = F.expr(f"get({c.sql_list([s.dim for s in self.plan.sets], '')}, pos)")
-        return self.cell_table(self.cells().where(at == dim))
+        return self.cell_table(self.cells(), dim)
 
     def combination_counts(self) -> DataFrame:
         """Common and rare combinations per dimension, over all that are possible, seen or not."""

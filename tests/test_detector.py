@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rarespark import RarityConfig, RarityDetector
 from rarespark.operators.encode import bin_edges
-from rarespark.plans import results
+from rarespark.plans import detector, results
 
 from .tables import PLANTED, random_codes, staff
 
@@ -88,6 +88,21 @@ def test_matches_brute_force(spark, seed, sizes, threshold, marginal, dims, grou
     assert dict(map(tuple, weighted)) == {k: sum(1 for w in want if sum(w) == k) for k in {sum(w) for w in want}}
 
 
+@pytest.mark.parametrize("group", [1 << 20, 30])
+def test_many_hit_sets_are_joined_by_pattern(spark, monkeypatch, group):
+    """Beyond a number of column sets, rows look their hits up by pattern; the results are the same."""
+    df = random_codes(spark, 700, (3, 4, 3, 2, 3), 6)
+    def run():
+        return RarityDetector(threshold=0.8, max_group_patterns=group).fit_predict(df, id_cols=["row_id"])
+    few = run()
+    monkeypatch.setattr(detector, "LITERAL_SETS", 0)
+    many = run()
+    assert few.hits is None and many.hits is not None
+    assert few.breakdown_all().exceptAll(many.breakdown_all()).isEmpty()
+    assert few.flagged_summary().collect() == many.flagged_summary().collect()
+    assert many.scores().where(F.col("TOTAL SCORE") > 0).count() > 0
+
+
 def test_planted_rows_are_flagged_and_few_others(staff_run):
     scores = {r["row_id"]: r["TOTAL SCORE"] for r in staff_run["Scores"].collect()}
     assert all(scores[600 - k] > 0 for k in range(1, PLANTED + 1))
