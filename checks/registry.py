@@ -7,9 +7,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rarespark import FeatureEngineeringConfig, PreprocessConfig, RarityConfig, RarityDetector
+from rarespark import FeatureEngineeringConfig, PreprocessConfig, RarityDetector
 from rarespark.functions import text as fx
-from rarespark.functions.columns import col, nan_to_null
+from rarespark.functions.columns import col
 from rarespark.operators import features as fe
 from rarespark.operators import iforest, prep, profile
 from rarespark.plans import compare, results
