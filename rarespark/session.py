@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Folders of staged tables by application.
+_STAGED: dict[str, list[str]] = {}
+
 
 def build_session(app: str = "rarespark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings this library is tuned for. Every setting can be overridden."""
@@ -45,14 +48,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder on whatever file system holds it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from there.
+    """Write ``df`` once as Parquet in the shared folder and continue from that table.
 
-    Used where several later jobs read the same derived table, so that they all see one snapshot
-    and a lost executor costs a re-read instead of a recomputation.
+    Used where several later jobs read the same derived table, so that they all see one snapshot, read
+    only the columns they need, and a lost executor costs a re-read instead of a recomputation.
+    ``unstage`` removes a table that is no longer needed, ``release`` all tables staged in the session.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    table.__dict__["_staged_path"] = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables; nothing may read them afterwards."""
+    for df in tables:
+        path = df.__dict__.pop("_staged_path", None)
+        if path:
+            delete_path(df.sparkSession, path.rsplit("/", 1)[0])
+            _STAGED.get(df.sparkSession.sparkContext.applicationId, []).remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table staged in this session; results that still read them must be stored first."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path.rsplit("/", 1)[0])
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
