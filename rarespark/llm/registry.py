@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from ..session import scratch_path
+from . import bpe, mixing, oracle, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +42,23 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+@register("op3_content_addressed_warc", oracle.warc())
+def op3_content_addressed_warc(spark, sf_dir):
+    path = scratch_path(spark, "archive")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.verified(spark, path)
+
+
+@register("op7_line_hashing", oracle.units(units.MIN_WORDS))
+def op7_line_hashing(spark, sf_dir):
+    return units.report(table(spark, sf_dir, "documents"))
+
+
 @register("op8_bpe_tree")
 def op8_bpe_tree(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op10_sainte_lague", oracle.mixing(mixing.BLOCK_WORDS, mixing.SHARD_ROWS, mixing.BUNDLE, mixing.SEED))
+def op10_sainte_lague(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
