@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, mixing, oracle, units, warc
+from . import bpe, fertility, mixing, oracle, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,14 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+@register("op1_tokeniser_fertility")
+def op1_tokeniser_fertility(spark, sf_dir):
+    names = ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
+    judged = fertility.judge(table(spark, sf_dir, "documents"), {n: vocabulary(n) for n in names}, public_tokenizers.PATTERN)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "band", "n_tokens", *fertility.FLOOR)
+
+
 @register("op3_content_addressed_warc", oracle.warc())
 def op3_content_addressed_warc(spark, sf_dir):
     path = scratch_path(spark, "archive")
