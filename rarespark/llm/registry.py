@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, fertility, mixing, oracle, units, warc
+from . import bpe, fertility, mixing, oracle, quality, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,11 @@ def op8_bpe_tree(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op9_positive_unlabelled")
+def op9_positive_unlabelled(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op10_sainte_lague", oracle.mixing(mixing.BLOCK_WORDS, mixing.SHARD_ROWS, mixing.BUNDLE, mixing.SEED))
 def op10_sainte_lague(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
