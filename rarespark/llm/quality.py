@@ -143,6 +143,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0)
     ph, uh = len(positive) // 2, len(unlabelled) // 2
     if not ph or not uh:
         return 0.5
+    rng = np.random.default_rng(seed)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     net = _train(positive[:ph], unlabelled[:uh], None, seed, max(1, EPOCHS // 3))
     p, u = np.sort(net.score(positive[ph:])), np.sort(net.score(unlabelled[uh:]))
     # Above thresholds that at least a fifth of the positives reach; fewer make the ratio noisy.
