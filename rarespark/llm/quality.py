@@ -140,19 +140,21 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, se
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
     """Share of positives among the unlabelled rows."""
-    ph, uh = len(positive) // 2, len(unlabelled) // 2
-    if not ph or not uh:
+    if len(positive) < 2 or len(unlabelled) < 2:
         return 0.5
-    rng = np.random.default_rng(seed)
-    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
-    net = _train(positive[:ph], unlabelled[:uh], None, seed, max(1, EPOCHS // 3))
-    p, u = np.sort(net.score(positive[ph:])), np.sort(net.score(unlabelled[uh:]))
-    # Above thresholds that at least a fifth of the positives reach; fewer make the ratio noisy.
-    at = np.quantile(p, np.linspace(0, 0.8, 81))
-    above_p = 1 - np.searchsorted(p, at, "left") / len(p)
-    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
-    error = np.sqrt(above_u * (1 - above_u) / len(u) + above_p * (1 - above_p) / len(p))
-    return float(np.clip(np.min((above_u + 2 * error) / above_p), 0.05, 0.98))
+    rng, curves = np.random.default_rng(seed), []
+    # Thresholds that at least a fifth of the positives reach; fewer make the ratio noisy.
+    levels = np.linspace(0, 0.8, 41)
+    for _ in range(3):
+        halves = [np.array_split(rng.permutation(rows), 2) for rows in (positive, unlabelled)]
+        for seen, unseen in ((0, 1), (1, 0)):
+            net = _train(halves[0][seen], halves[1][seen], None, seed, max(1, EPOCHS // 3))
+            p, u = (np.sort(net.score(rows[unseen])) for rows in halves)
+            at = np.quantile(p, levels)
+            curves.append([1 - np.searchsorted(x, at, "left") / len(x) for x in (p, u)])
+    above_p, above_u = np.mean(curves, axis=0)
+    error = np.sqrt(above_u * (1 - above_u) / len(unlabelled) + above_p * (1 - above_p) / len(positive))
+    return float(np.clip(np.min((above_u + error) / above_p), 0.05, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> tuple[Network, float] | None:
