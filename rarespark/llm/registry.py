@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, fertility, mixing, oracle, quality, units, warc
+from . import bpe, fertility, minhash, mixing, oracle, quality, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,12 @@ def op3_content_addressed_warc(spark, sf_dir):
     return warc.verified(spark, path)
 
 
+@register("op5_superminhash")
+def op5_superminhash(spark, sf_dir):
+    grouped = minhash.group(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return grouped.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op7_line_hashing", oracle.units(units.MIN_WORDS))
 def op7_line_hashing(spark, sf_dir):
     return units.report(table(spark, sf_dir, "documents"))
