@@ -109,3 +109,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def sums(values: np.ndarray, groups: np.ndarray, count: int) -> np.ndarray:
     """Sum of ``values`` by group number, as whole numbers."""
     return np.bincount(groups, weights=values, minlength=count).astype(np.int64)
+
+
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of fixed size in which the values of a column of hashes are marked.
+
+    At most ``bits / 8`` bytes come to the driver, whatever the number of rows.
+    """
+    value = F.col(column).cast("bigint")
+    spot = F.pmod(value.bitwiseXOR(F.shiftright(value, 29)), F.lit(bits)) + 1  # bitmaps count from one
+    parts = rows.select(spot.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
+    for r in parts:
+        out[(r["bucket"] - 1) * 4096:r["bucket"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def in_bitmap(marked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values may be among those of ``bitmap``; never false for one that is."""
+    v = values.astype(np.int64) if values.dtype != np.uint64 else values.view(np.int64)
+    at = (v ^ (v >> np.int64(29))) % np.int64(len(marked) * 8)
+    return (marked[at // 8] >> (at % 8).astype(np.uint8) & 1).astype(bool)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage, unstage
-from .common import chunks, combine, find_words, lower_ascii, mix, span_hashes, text_bytes, texts
+from .common import bitmap, chunks, combine, find_words, in_bitmap, lower_ascii, mix, span_hashes, text_bytes, texts
 from .components import components
 
 BANDS, ROWS = 32, 5
@@ -133,28 +133,19 @@ class Verifier:
 
     def __init__(self, documents: DataFrame, candidates: DataFrame, width: int, percent: int):
         self.percent = percent
-        spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP)) + 1  # noqa: E731 - bitmaps count from one
-        # At most BITMAP / 8 bytes, whatever the number of candidates.
-        rows = candidates.select(spot("id").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-        bits = np.zeros(BITMAP // 8, dtype=np.uint8)
-        for r in rows:
-            at = (r["bucket"] - 1) * 4096
-            bits[at:at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-        sent = documents.sparkSession.sparkContext.broadcast(bits)
+        marked = candidates.select(F.xxhash64("id").alias("spot"))
+        sent = documents.sparkSession.sparkContext.broadcast(bitmap(marked, "spot", BITMAP))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.column("at").to_numpy() - 1
-                hit = sent.value[(at // 8)] >> (at % 8).astype(np.uint8) & 1
-                batch = batch.filter(pa.array(hit.astype(bool)))
+                batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column("spot").to_numpy())))
                 for part in chunks(iter([batch])):
                     sets = sets_of(part.column("text"), width)
                     keys = [int(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()[:15], 16) for s in sets]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.int64()),
                                                       pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "part", "shingles"])
 
-        read = texts(documents).where("doc_id IS NOT NULL").select("doc_id", "text", spot("doc_id").alias("at"))
+        read = texts(documents).where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("spot"))
         self.sets = stage(read.mapInArrow(work, SETS))
 
     def links(self, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, fertility, minhash, mixing, oracle, quality, units, warc
+from . import bpe, fertility, minhash, mixing, oracle, quality, suffixes, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,6 +63,11 @@ def op5_superminhash(spark, sf_dir):
     return grouped.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op6_radix_suffixes")
+def op6_radix_suffixes(spark, sf_dir):
+    return suffixes.remove(table(spark, sf_dir, "documents"), suffixes.WIDTH)
+
+
 @register("op7_line_hashing", oracle.units(units.MIN_WORDS))
 def op7_line_hashing(spark, sf_dir):
     return units.report(table(spark, sf_dir, "documents"))
