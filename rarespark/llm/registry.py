@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, fertility, minhash, mixing, oracle, quality, suffixes, units, warc
+from . import bpe, fertility, minhash, mixing, oracle, quality, quantise, suffixes, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,11 @@ def op3_content_addressed_warc(spark, sf_dir):
     return warc.verified(spark, path)
 
 
+@register("op4_product_quantisation", oracle.vectors())
+def op4_product_quantisation(spark, sf_dir):
+    return quantise.link(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @register("op5_superminhash")
 def op5_superminhash(spark, sf_dir):
     grouped = minhash.group(table(spark, sf_dir, "documents"), width=2, percent=80)
