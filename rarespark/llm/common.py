@@ -58,9 +58,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(data: np.ndarray, offsets: np.ndarray,
+               separators: np.ndarray = _SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of every word; words never cross texts."""
-    inside = ~_SEPARATORS[data]
+    inside = ~separators[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     starts = inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])) if len(data) else inside

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import bpe, fertility, minhash, mixing, oracle, quality, quantise, suffixes, units, warc
+from . import bpe, crf, fertility, minhash, mixing, oracle, quality, quantise, suffixes, units, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,11 @@ def op1_tokeniser_fertility(spark, sf_dir):
                          "band", "n_tokens", *fertility.FLOOR)
 
 
+@register("op2_conditional_random_field")
+def op2_conditional_random_field(spark, sf_dir):
+    return crf.identify(table(spark, sf_dir, "documents"))
+
+
 @register("op3_content_addressed_warc", oracle.warc())
 def op3_content_addressed_warc(spark, sf_dir):
     path = scratch_path(spark, "archive")
