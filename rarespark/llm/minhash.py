@@ -10,8 +10,8 @@ Documents with equal sets are one class and enter with one representative. A buc
 
 1. every representative is compared with the least member of all its buckets;
 2. in buckets that still hold several groups, every member is compared with the least member;
-3. what is left in such buckets is compared across groups only, in blocks of bounded size within tasks; a pair goes on
-   if its signatures allow the similarity (five standard deviations of slack).
+3. what is left in such buckets is compared across groups only, in blocks of bounded size within tasks: on full sets if
+   the signatures allow the similarity (five standard deviations of slack). A task returns a spanning forest of its links.
 
 At scale: texts are read twice and never shuffled. The second reading makes the full sets of candidates, told by a bitmap of
 fixed size over hashed ids. Grouped minima are combined per task; joins have stored tables on both sides, so that Spark
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage, unstage
 from .common import bitmap, chunks, combine, find_words, in_bitmap, lower_ascii, mix, span_hashes, text_bytes, texts
-from .components import components
+from .components import components, find, unite
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -128,6 +128,14 @@ def _part():
     return F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("bigint")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least ``percent`` percent of their union."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 class Verifier:
     """Confirms pairs ``a, a_part, b, b_part`` on the full shingle sets of their documents."""
 
@@ -155,13 +163,8 @@ class Verifier:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = []
-                for x, y in zip(batch.column("a_set"), batch.column("b_set")):
-                    a, b = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                    both = np.concatenate([a, b])
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    hit.append(100 * shared >= percent * (len(both) - shared))
+                hit = [similar(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64), percent)
+                       for a, b in zip(batch.column("a_set"), batch.column("b_set"))]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
         full = pairs.join(side("b"), ["b", "b_part"]).join(side("a"), ["a", "a_part"])
@@ -173,33 +176,57 @@ def _possible(percent: int):
     return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs across groups within the buckets of ``members``, as far as signatures allow."""
+def _block_pairs(rows: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row x with all later rows y of one task that are in other groups and whose signatures allow the similarity.
+
+    A pair belongs to the first band it shares, and to the task of its two blocks.
+    """
+    least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / SLOTS)
+    groups, counts, own = (rows.column(c).to_numpy() for c in ("component", "n", "own"))
+    signature = np.array([np.frombuffer(s.as_buffer(), dtype=np.uint16) for s in rows.column("signature")])
+    bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+    band, mixed = rows.column("band")[0].as_py(), rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    for x in range(rows.num_rows):
+        y = np.flatnonzero((groups != groups[x]) & (np.arange(len(own)) > x) & ((own != own[x]) | (not mixed)))
+        y = y[100 * np.minimum(counts[y], counts[x]) >= percent * np.maximum(counts[y], counts[x])]
+        y = y[(signature[y] == signature[x]).mean(axis=1) >= least] if len(y) else y
+        if len(y):
+            shared = bands[y] == bands[x]
+            y = y[bands[x][shared.argmax(axis=1)] == band]
+        if len(y):
+            yield x, y
+
+
+def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across groups within the buckets of ``members``: a spanning forest of them for each task."""
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = members.join(stage(sizes), "band").withColumn("own", F.pmod(F.xxhash64("id", "part"), F.col("blocks")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    least = percent / 100 - 5 * np.sqrt(percent / 100 * (1 - percent / 100) / SLOTS)
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = table.combine_chunks()
-        band = rows.column("band")[0].as_py() if rows.num_rows else 0
-        ids, parts, groups, counts, own = (rows.column(c).to_numpy() for c in ("id", "part", "component", "n", "own"))
-        signature = np.array([np.frombuffer(s.as_buffer(), dtype=np.uint16) for s in rows.column("signature").combine_chunks()])
-        bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "n", "component", "own", "signature", "bands")
+
+    def possible(table: pa.Table) -> pa.Table:
+        """The rows that stand in any pair worth verifying; only they need their sets."""
+        rows, hit = table.combine_chunks().to_batches()[0], np.zeros(table.num_rows, dtype=bool)
+        for x, y in _block_pairs(rows, percent):
+            hit[x] = True
+            hit[y] = True
+        return table.filter(pa.array(hit))
+
+    def verify(table: pa.Table) -> pa.Table:
+        rows, parent = table.combine_chunks().to_batches()[0], {}
+        full = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in rows.column("shingles")]
+        ids, groups = rows.column("id").to_pylist(), rows.column("component").to_pylist()
         found = []
-        same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        for x in range(len(ids)):
-            y = np.flatnonzero((groups != groups[x]) & (np.arange(len(ids)) > x) & (True if same else own != own[x]))
-            y = y[100 * np.minimum(counts[y], counts[x]) >= percent * np.maximum(counts[y], counts[x])]
-            y = y[(signature[y] == signature[x]).mean(axis=1) >= least] if len(y) else y
-            for k in y.tolist():  # a pair belongs to the first band it shares
-                if bands[x][np.argmax(bands[x] == bands[k])] == band:
-                    found.append((ids[x], parts[x], ids[k], parts[k]))
-        columns = list(zip(*found)) or [[], [], [], []]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "a_part", "b", "b_part"), columns)})
+        for x, y in _block_pairs(rows, percent):
+            for k in y.tolist():  # groups that this task has joined need no further link
+                if find(parent, groups[x]) != find(parent, groups[k]) and similar(full[x], full[k], percent):
+                    unite(parent, groups[x], groups[k])
+                    found.append((ids[x], ids[k]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return spread.groupBy("band", "i", "j").applyInArrow(compare, "a bigint, a_part bigint, b bigint, b_part bigint").distinct()
+    keys = ["band", "i", "j"]
+    rows = stage(spread.groupBy(*keys).applyInArrow(possible, spread.schema))
+    return stage(rows.join(sets, ["id", "part"]).groupBy(*keys).applyInArrow(verify, "a bigint, b bigint"))
 
 
 def group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +267,7 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = stage(again.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band"))
     members = stage(again.join(mixed, "band", "left_semi").join(chosen, ["id", "part"]))
-    links = stage(links.unionByName(verifier.links(_blocks(members, percent))))
+    links = stage(links.unionByName(_blocks(members, verifier.sets, percent)))
     grouped = components(links)
     unstage(leaders, buckets, marked, again, members, verifier.sets, chosen)
 
