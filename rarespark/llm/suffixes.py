@@ -14,10 +14,12 @@ windows sorts as one row, about one per 85 bytes.
 In every pass, rows that are equal as a whole are settled at once. The result is exact: digits are compared by 64-bit hashes, equal
 windows by 128 bits.
 
-At scale: texts are read three times and moved only at the end, and then only those that lose bytes. A pass counts its digits with
+Of rows that are equal as a whole, one goes on to the next digit for all.
+
+At scale: texts are read for each pass and moved only at the end, and then only those that lose bytes. A pass counts its digits with
 partial sums, so that a passage in a third of all texts costs a record per task; counts are stored and joined to the rows from two
-plain scans, whose hot keys Spark splits. Which digits go on is told to the next reading by a bitmap of fixed size; beyond
-its capacity more rows than necessary go on, and the joins sort them out.
+plain scans, whose hot keys Spark splits. Which texts and rows go on is told to the next reading by bitmaps of fixed size;
+beyond their capacity more rows than necessary go on, and the joins sort them out.
 
 Missing texts count as empty. Equal rows are separate texts, so all their windows repeat. A row is told by ``doc_id`` and text;
 an empty table gives an empty result; other columns are ignored.
@@ -31,18 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage, unstage
 from .common import bitmap, chunks, combine, eight_bytes, in_bitmap, mix, text_bytes, texts
 
 WIDTH = 200
 #: Neighbouring windows that share a second digit.
-STEP = 16
+STEP = 8
 CHUNK_BYTES = 2 << 20
 #: Bits of the bitmaps.
 BITMAP = 1 << 26
 
+SPAN = ["doc", "part", "start", "stop"]
 ROWS = "level int, key bigint, whole bigint, doc bigint, part int, start int, stop int, n int"
 
 
@@ -146,19 +149,31 @@ def _shared(rows: DataFrame) -> DataFrame:
                  .where("n > 1").select("level", "key", (F.col("a") < F.col("b")).alias("unlike")))
 
 
-def _settled(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """Spans of the rows that are equal to others as a whole."""
+def _row_key(key: Column, doc: Column, start: Column) -> Column:
+    """A hash of a row, for bitmaps only; ``_row_keys`` gives the same for arrays."""
+    return key.bitwiseXOR(F.shiftleft(doc, 20)).bitwiseXOR(F.shiftleft(start.cast("bigint"), 3))
+
+
+def _row_keys(rows: dict, doc: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    number = rows["doc"].astype(np.int64)
+    return rows["key"].view(np.int64) ^ (doc[number] << np.int64(20)) ^ ((rows["start"] - offsets[number]) << np.int64(3))
+
+
+def _sort(rows: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spans of the rows that are equal to others as a whole; the rows that go on to the next digit."""
     rows = stage(rows.join(shared, ["level", "key"]))
-    twins = stage(rows.where("unlike").groupBy("level", "key", "whole").agg(F.sum("n").alias("m")).where("m > 1").drop("m"))
-    spans = ["doc", "part", "start", "stop"]
-    out = stage(rows.where("NOT unlike").select(*spans).unionByName(rows.where("unlike").join(twins, ["level", "key", "whole"]).select(*spans)))
-    unstage(rows, twins)
-    return out
+    at = F.struct("doc", "part", "start")
+    twins = stage(rows.where("unlike").groupBy("key", "whole").agg(F.sum("n").alias("m"), F.min(at).alias("one")).where("m > 1").drop("m"))
+    judged = stage(rows.where("unlike").join(twins, ["key", "whole"], "left").select("key", *SPAN, "one"))
+    spans = stage(rows.where("NOT unlike").select(*SPAN).unionByName(judged.where("one IS NOT NULL").select(*SPAN)))
+    open_rows = stage(judged.where(F.col("one").isNull() | (F.col("one") == at)).select("key", "doc", "part", "start"))
+    unstage(rows, twins, judged)
+    return spans, open_rows
 
 
 def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc, part, start, stop``: stored byte spans, together exactly the bytes in repeated windows; spans may overlap."""
-    read, spark = texts(documents), documents.sparkSession
+    read, send = texts(documents), documents.sparkSession.sparkContext.broadcast
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK_BYTES):
@@ -166,35 +181,54 @@ def repeated_spans(documents: DataFrame, width: int = WIDTH) -> DataFrame:
             yield _batch(batch, b["offsets"], _first(b, width))
 
     anchors = _shared(read.mapInArrow(first, ROWS).select("level", "key", "whole", "n"))
-    some = spark.sparkContext.broadcast((bitmap(anchors, "key", BITMAP), bitmap(anchors.where("unlike"), "key", BITMAP)))
+    some = send(bitmap(anchors, "key", BITMAP))
+
+    def chosen_blocks(batch: pa.RecordBatch, wanted: np.ndarray) -> tuple[dict, dict]:
+        b = blocks(batch.column("text"), width)
+        hit = in_bitmap(wanted, b["hash"])
+        b |= {c: b[c][hit] for c in ("doc", "anchor", "first", "count", "hash")}
+        return b, _first(b, width)
+
+    def shared_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=CHUNK_BYTES):
+            b, one = chosen_blocks(batch, some.value)
+            yield _batch(batch, b["offsets"], one)
+
+    one, open_blocks = _sort(stage(read.mapInArrow(shared_blocks, ROWS)), anchors)
+    marks = lambda rows: (bitmap(rows, "part", BITMAP), bitmap(rows.select(
+        _row_key(F.col("key"), F.col("doc"), F.col("start")).alias("row")), "row", BITMAP))
+    first_marks = send(marks(open_blocks))
+
+    def open_steps(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, dict, dict]:
+        """Second digits of the blocks that go on, of the texts that hold any."""
+        some_texts, some_rows = first_marks.value
+        doc, part = _identity(batch)
+        hit = in_bitmap(some_texts, part.astype(np.int64))
+        batch, doc = batch.filter(pa.array(hit)), doc[hit]
+        b, one = chosen_blocks(batch, some.value)
+        return batch, doc, b, _second(b, width, one["block"][in_bitmap(some_rows, _row_keys(one, doc, b["offsets"]))])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, unlike = some.value
         for batch in chunks(batches, limit=CHUNK_BYTES):
-            b = blocks(batch.column("text"), width)
-            hit = in_bitmap(shared, b["hash"])
-            b |= {c: b[c][hit] for c in ("doc", "anchor", "first", "count", "hash")}
-            one = _first(b, width)
-            open_blocks = one["block"][in_bitmap(unlike, one["key"])]
-            yield _batch(batch, b["offsets"], one, _second(b, width, open_blocks))
+            batch, _, b, two = open_steps(batch)
+            yield _batch(batch, b["offsets"], two)
 
     rows = stage(read.mapInArrow(second, ROWS))
-    steps = _shared(rows.where("level = 2"))
-    last = spark.sparkContext.broadcast((some.value[1], bitmap(steps.where("unlike"), "key", BITMAP)))
+    steps = _shared(rows)
+    two, open_rows = _sort(rows, steps)
+    second_marks = send(marks(open_rows))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unlike, open_steps = last.value
+        some_texts, some_rows = second_marks.value
         for batch in chunks(batches, limit=CHUNK_BYTES):
-            b = blocks(batch.column("text"), width)
-            two = _second(b, width, np.flatnonzero(in_bitmap(unlike, b["hash"])))
-            yield _batch(batch, b["offsets"], _third(b, two, width, np.flatnonzero(in_bitmap(open_steps, two["key"]))))
+            hit = in_bitmap(some_texts, _identity(batch)[1].astype(np.int64))
+            batch, doc, b, two = open_steps(batch.filter(pa.array(hit)))
+            yield _batch(batch, b["offsets"], _third(b, two, width, np.flatnonzero(in_bitmap(some_rows, _row_keys(two, doc, b["offsets"])))))
 
     windows = stage(read.mapInArrow(third, ROWS))
-    equal = stage(windows.groupBy("level", "key", "whole").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
-    spans = ["doc", "part", "start", "stop"]
-    one, two = (_settled(rows.where(F.col("level") == n), s) for n, s in ((1, anchors), (2, steps)))
-    out = stage(one.unionByName(two).unionByName(windows.join(equal, ["level", "key", "whole"]).select(*spans)))
-    unstage(anchors, steps, rows, windows, equal, one, two)
+    equal = stage(windows.groupBy("key", "whole").agg(F.count("*").alias("m")).where("m > 1").drop("m"))
+    out = stage(one.unionByName(two).unionByName(windows.join(equal, ["key", "whole"]).select(*SPAN)))
+    unstage(anchors, steps, rows, windows, equal, one, two, open_blocks, open_rows)
     return out
 
 
