@@ -205,3 +205,19 @@ def digests(documents: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _run(documents, vocabulary, pattern, DIGESTS, rows)
+
+
+def encode_checked(documents: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every whole text, encoded once."""
+    def rows(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [encoder.encode(t.as_py()) for t in batch.column("text")]
+        counts = [len(x) // 4 for x in ids]
+        values = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array(counts, pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string())],
+            names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return _run(documents, vocabulary, pattern, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string", rows)

@@ -277,3 +277,21 @@ def group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), component))
     return out.select("doc_id", "n_shingles", "digest", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents of which no group holds an earlier one, with all their columns.
+
+    A ``doc_id`` goes if one of its rows is in an earlier document's group; its remaining rows with equal texts become one. Documents without words
+    and rows without ``doc_id`` stay.
+    """
+    gone = stage(group(documents, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    left = documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    doubled = stage(documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+                    .select(F.col("doc_id").alias("__gone")))
+    if not doubled.take(1):  # the rule: every doc_id stands once
+        return left
+    single = left.join(doubled, F.col("doc_id") == F.col("__gone"), "left_anti")
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    several = left.join(doubled, F.col("doc_id") == F.col("__gone"), "left_semi")
+    return single.unionByName(several.where(worded).dropDuplicates(["doc_id", "text"])).unionByName(several.where(~worded))

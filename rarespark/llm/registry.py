@@ -16,11 +16,15 @@ SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    import corpus_pipeline  # stands at the repository top and imports this module
+
+    return dict(QUERIES) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    import corpus_pipeline
+
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def register(name: str, sql: str | None = None):

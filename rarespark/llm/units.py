@@ -78,6 +78,13 @@ def dedup(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
         F.size("__units").cast("bigint").alias("n_units"), F.when(touched, ends["spans"]).otherwise(none).alias("removed"))
 
 
+def dedup_text(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their own columns only, whatever these are called, and ``text`` cut down to what stays."""
+    packed = documents.select("doc_id", "text", F.struct("*").alias("row"))
+    out = dedup(packed, unit, min_words)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
 def report(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: ``doc_id, n_units, n_removed, removed_spans`` (as ``start:end``, by place) and ``kept_text``."""
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), " ")
