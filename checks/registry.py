@@ -71,6 +71,7 @@ EVENTS_MARGINAL = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES, 0.5, margina
 NULLS = RareSql(NULLS_SQL, ["event_id"], EVENT_FEATURES, 0.5)
 LINES = RareSql(LINES_SQL, LINE_IDS, LINE_FEATURES, 0.5)
 DOCS = RareSql(DOCS_SQL, ["doc_id"], DOC_FEATURES, 0.5)
+DOCS_MARGINAL = RareSql(DOCS_SQL, ["doc_id"], DOC_FEATURES, 0.5, marginal=True)
 JOINED = RareSql(JOIN_SQL, JOIN_IDS, JOIN_FEATURES, 0.7, max_dims=6)
 JOINED_MARGINAL = RareSql(JOIN_SQL, JOIN_IDS, JOIN_FEATURES, 0.7, max_dims=6, marginal=True)
 
@@ -122,10 +123,9 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
-@register("scan_parquet", "SELECT l_returnflag, l_linestatus, l_shipdate, l_quantity FROM lineitem WHERE l_quantity < 10")
+@register("scan_parquet", "SELECT * FROM lineitem")
 def scan_parquet(spark, sf_dir):
-    rows = readers.load(spark, f"{sf_dir}/lineitem.parquet")
-    return rows.where("l_quantity < 10").select("l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
+    return readers.load(spark, f"{sf_dir}/lineitem.parquet")
 
 
 @register("scan_csv", ORDERS_SQL)
@@ -265,9 +265,9 @@ def result_cards(spark, sf_dir):
 
 # -- E. cleaning ----------------------------------------------------------------------------------
 
-@register("prep_distinct", "SELECT lang, source, min(doc_id) AS doc_id FROM documents GROUP BY lang, source")
+@register("prep_distinct", "SELECT text, lang, source, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY text, lang, source, n_chars")
 def prep_distinct(spark, sf_dir):
-    return prep.drop_duplicates(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["doc_id"])
+    return prep.drop_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @register("prep_drop_constant", "SELECT c_custkey, c_mktsegment FROM customer")
@@ -509,8 +509,8 @@ def _rare(spark, sf_dir, source, dim, **params):
 
 register("rare_1d", EVENTS.cells(1))(partial(_rare, source="events", dim=1))
 register("rare_2d", LINES.cells(2))(partial(_rare, source="lines", dim=2, threshold=0.5))
-register("rare_2d_marginal", EVENTS_MARGINAL.cells(2))(
-    partial(_rare, source="events", dim=2, threshold=0.5, check_marginal_probs=True))
+register("rare_2d_marginal", DOCS_MARGINAL.cells(2))(
+    partial(_rare, source="docs", dim=2, threshold=0.5, check_marginal_probs=True))
 register("rare_3d", LINES.cells(3))(partial(_rare, source="lines", dim=3, threshold=0.5))
 for _d in (4, 5, 6):
     register(f"rare_{_d}d", JOINED.cells(_d))(partial(_rare, source="joined", dim=_d, threshold=0.7, max_dimensions=6))
@@ -803,10 +803,61 @@ def catalog_dedupe(spark, sf_dir):
     return catalog.list_datasets().where(F.col("dataset_id").isin(first, again)).select("dataset_id", "name", "n_rows", "n_cols")
 
 
-@register("table_fingerprint")
+@register("table_fingerprint",
+          "SELECT 'customer' AS name, true AS reordered_same, count(*) > 0 AS cell_changes, count(*) > 0 AS swap_changes, count(*) > 0 AS null_place_changes, "
+          "count(*) > 0 AS doubled_changes FROM customer UNION ALL SELECT 'supplier', true, count(*) > 0, count(*) > 0, count(*) > 0, count(*) > 0 FROM supplier")
 def fingerprint(spark, sf_dir):
-    names = ["orders", "lineitem", "documents", "conversations"]
-    return spark.createDataFrame([(n, table_fingerprint(table(spark, sf_dir, n))) for n in names], "name string, content_hash string")
+    """What changes a table's fingerprint: everything but the order of its rows."""
+    found = []
+    for name, key, a in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name")):
+        rows = table(spark, sf_dir, name)
+        least = F.col(key) == rows.agg(F.min(key)).first()[0]
+        rows = rows.withColumn("extra", F.concat(F.lit("x"), col(a)))
+        same = table_fingerprint(rows)
+        emptied = lambda gone: rows.withColumn(gone, F.when(~least, col(gone)))  # noqa: E731, B023
+        swapped = rows.withColumns({a: F.when(least, col("extra")).otherwise(col(a)), "extra": F.when(least, col(a)).otherwise(col("extra"))})
+        filled = rows.withColumn(a, F.when(~least, col(a)).otherwise(col("extra")))
+        moved = table_fingerprint(filled.withColumn("extra", F.when(~least, col("extra")))) != table_fingerprint(
+            filled.withColumn(a, F.when(~least, col(a))))
+        found.append((name, table_fingerprint(rows.repartition(5).orderBy(F.desc(key))) == same, table_fingerprint(emptied(a)) != same,
+                      table_fingerprint(swapped) != same, moved, table_fingerprint(rows.union(rows.where(least))) != same))
+    return spark.createDataFrame(found, "name string, reordered_same boolean, cell_changes boolean, swap_changes boolean, null_place_changes boolean, "
+                                        "doubled_changes boolean")
+
+
+@register("catalog_delete_and_purge",
+          "SELECT CAST(1 AS BIGINT) AS datasets_after_delete, CAST(0 AS BIGINT) AS runs_after_delete, CAST(0 AS BIGINT) AS datasets_after_purge, "
+          "count(*) AS rows_left FROM supplier")
+def catalog_delete_and_purge(spark, sf_dir):
+    catalog, data, _, _ = _two_runs(spark, sf_dir)
+    other = catalog.save_dataset(table(spark, sf_dir, "supplier"), "supplier")
+    catalog.delete_dataset(data)
+    left = catalog.list_datasets().count(), catalog.list_runs().count()
+    rows = catalog.load_dataset(other).count()
+    catalog.purge_all()
+    return spark.createDataFrame([(*left, catalog.list_datasets().count(), rows)],
+                                 "datasets_after_delete bigint, runs_after_delete bigint, datasets_after_purge bigint, rows_left bigint")
+
+
+@register("scan_csv_long_numbers", "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(1234567890123000000 + event_id AS BIGINT) AS long_id, '  ' || event_type || ' ' AS padded FROM events")
+def scan_csv_long_numbers(spark, sf_dir):
+    """Nineteen digits and blanks at the ends of text survive export and import."""
+    path = scratch_path(spark, "numbers.csv")
+    rows = events(spark, sf_dir).select("event_id", (F.lit(1234567890123000000) + F.col("event_id")).alias("long_id"),
+                                        F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("padded"))
+    writers.export(rows, path, "csv")
+    return readers.load(spark, path)
+
+
+@register("fe_datetime_forms",
+          "SELECT event_id, CAST(year(ts) AS BIGINT) AS us_year, CAST(month(ts) AS BIGINT) AS us_month, CAST(day(ts) AS BIGINT) AS us_day, "
+          "CAST(month(ts) AS BIGINT) AS dots_month, CAST(day(ts) AS BIGINT) AS dots_day, CAST(month(ts) AS BIGINT) AS named_month, CAST(day(ts) AS BIGINT) AS named_day FROM events")
+def fe_datetime_forms(spark, sf_dir):
+    """Dates written the American way, with dots and with the month's name."""
+    forms = {"us": "M/d/yyyy", "dots": "d.M.yyyy", "named": "MMMM d, yyyy"}
+    rows = table(spark, sf_dir, "events").select("event_id", *[F.date_format("ts", f).alias(n) for n, f in forms.items()])
+    out, _ = fe.apply_feature_engineering(rows, FeatureEngineeringConfig(parse_datetimes=list(forms), datetime_parts=["year", "month", "day"]))
+    return out.select("event_id", *[big(c, c) for c in ("us_year", "us_month", "us_day", "dots_month", "dots_day", "named_month", "named_day")])
 
 
 @register("catalog_list_datasets",

@@ -31,9 +31,9 @@ def is_datetime(dtype: T.DataType) -> bool:
 
 
 def present(name: str, dtype: T.DataType) -> Column:
-    """The column with NaN turned into NULL, so that there is one notion of missing."""
+    """The column with NaN turned into NULL and minus zero into zero: one notion of missing, one of zero."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.nanvl(col(name), F.lit(None))
+        return F.nanvl(col(name), F.lit(None)) + F.lit(0.0).cast(dtype)
     return col(name)
 
 

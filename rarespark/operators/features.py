@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import FeatureEngineeringConfig
@@ -13,6 +15,10 @@ from .quantiles import exact_quantiles
 DATE_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "weekday": F.weekday,
               "hour": F.hour, "quarter": F.quarter}
 
+# How dates are written other than by ISO, and times behind them.
+DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "yyyy/M/d", "yyyyMMdd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")
+TIME_FORMATS = ("", " H:mm", " H:mm:ss", " h:mm a")
+
 # The action log's lines.
 LOG_DATES = "Expanded datetime '{c}' → {parts}"
 LOG_LOG = "log1p('{c}')"
@@ -22,18 +28,24 @@ LOG_PRODUCT = "interaction {a} * {b}"
 LOG_RATIO = "ratio {a} / {b}"
 
 
-def parse_datetime(df: DataFrame, name: str) -> Column:
-    """The column as a timestamp; text that is no date or time gives NULL."""
+def parse_datetime(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
+    """The column as a timestamp; text that is no date or time gives NULL.
+
+    Text is tried as ISO first, then by ``formats`` or, without any, by ``DATE_FORMATS`` in their order: a month before
+    the day if both readings are possible.
+    """
     dtype = df.schema[name].dataType
     if is_datetime(dtype):
         return col(name)
     if isinstance(dtype, T.StringType):
-        return F.try_to_timestamp(col(name))
+        forms = [f + t for f in DATE_FORMATS for t in TIME_FORMATS] if not formats else formats
+        text = F.trim(col(name))
+        return F.coalesce(*([] if formats else [F.try_to_timestamp(text)]), *[F.try_to_timestamp(text, F.lit(f)) for f in forms])
     raise TypeError(f"column {name!r} of type {dtype.simpleString()} holds no dates")
 
 
-def expand_datetime(df: DataFrame, name: str, parts: list[str], drop_original: bool = True) -> DataFrame:
-    moment = parse_datetime(df, name)
+def expand_datetime(df: DataFrame, name: str, parts: list[str], drop_original: bool = True, formats: Sequence[str] = ()) -> DataFrame:
+    moment = parse_datetime(df, name, formats)
     df = df.withColumns({f"{name}_{p}": DATE_PARTS[p](moment) for p in parts if p in DATE_PARTS})
     return df.drop(name) if drop_original else df
 
@@ -79,7 +91,7 @@ def apply_feature_engineering(df: DataFrame, cfg: FeatureEngineeringConfig) -> t
 
     for c in cfg.parse_datetimes:
         if c in df.columns:
-            df = expand_datetime(df, c, cfg.datetime_parts, cfg.drop_original_datetime)
+            df = expand_datetime(df, c, cfg.datetime_parts, cfg.drop_original_datetime, cfg.datetime_formats)
             log.append(LOG_DATES.format(c=c, parts=cfg.datetime_parts))
     for c in filter(numeric, cfg.log_transform):
         df = df.withColumn(f"{c}_log", log_of(col(c)))

@@ -35,22 +35,38 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
+def _draws(base: np.ndarray, tree: int) -> np.ndarray:
+    """A random number per row and tree, from one random number per row."""
+    x = base + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(33))) >> np.uint64(1)
+
+
 def tree_samples(df: DataFrame, rows: int, trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` random rows per tree, without repeats inside a tree.
+    """Exactly ``min(size, rows)`` random rows per tree, without repeats inside a tree.
 
-    Every row draws by itself which trees it may join, so nothing is collected; the draw is a little
-    generous and the surplus is cut per tree by a second random number.
+    A tree takes the rows with its least draws. Every task keeps that many per tree, so at most
+    ``tasks * size`` rows compete for a tree, however large the table is.
     """
     size = min(size, rows)
-    share = min(1.0, (size + 8 * math.sqrt(size) + 8) / max(rows, 1))
-    if share * trees < 1:  # one draw decides for all trees
-        drawn = (df.withColumn("__u", F.rand(seed)).where(F.col("__u") < share * trees)
-                 .withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int")))
-    else:
-        drawn = (df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-                 .where(F.rand(seed) < share))
-    drawn = stage(drawn.drop("__u").withColumn("__order", F.rand(seed + 2)))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("__order"))
+    names = df.columns
+    schema = T.StructType([*df.schema, T.StructField("tree", T.IntegerType()), T.StructField("__order", T.LongType())])
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame | None] = [None] * trees
+        for pdf in batches:
+            base = pdf["__u"].to_numpy().view(np.uint64)
+            for tree in range(trees):
+                order = _draws(base, tree).astype(np.int64)
+                at = np.argpartition(order, size - 1)[:size] if len(order) > size else np.arange(len(order))
+                part = pdf[names].iloc[at].assign(tree=np.int32(tree), __order=order[at])
+                kept = part if best[tree] is None else pd.concat([best[tree], part])
+                best[tree] = kept.nsmallest(size, "__order") if len(kept) > size else kept
+        yield from (part for part in best if part is not None)
+
+    drawn = stage(df.withColumn("__u", F.rand(seed)).mapInPandas(least, schema))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("__order", *map(col, names)))
     return drawn.withColumn("__place", place).where(F.col("__place") <= size).drop("__place", "__order")
 
 

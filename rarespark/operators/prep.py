@@ -16,7 +16,6 @@ from ..session import stage
 from .codes import ordinal_codes
 from .quantiles import exact_quantiles
 
-ONE_HOT_LIMIT = 1000  # values per column; more is refused, never cut
 
 # The action log's lines.
 LOG_DROPPED = "Dropped {n} user-selected columns: {names}"
@@ -46,7 +45,9 @@ def drop_duplicates(df: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     if not id_cols:
         return df.distinct()
     values = [c for c in df.columns if c not in id_cols]
-    first = df.groupBy(*map(col, values)).agg(F.min(F.struct(*map(col, id_cols))).alias("__id"))
+    # The minimum of one number can be kept in place; that of a struct needs sorted rows.
+    least = F.struct(F.min(col(id_cols[0])).alias(id_cols[0])) if len(id_cols) == 1 else F.min(F.struct(*map(col, id_cols)))
+    first = df.groupBy(*map(col, values)).agg(least.alias("__id"))
     return first.select(*[F.col("__id").getField(c).alias(c) if c in id_cols else col(c) for c in df.columns])
 
 
@@ -170,15 +171,18 @@ def scale_robust(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                            for c, q in stats.items() if q and q[2] - q[0]})
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], limit: int = ONE_HOT_LIMIT) -> DataFrame:
-    """A boolean column per value, after the other columns, values in sorted order; missing is all false."""
+def one_hot(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """A boolean column per value, after the other columns, values in sorted order; missing is all false.
+
+    With ``limit``, columns of more values are refused (never cut).
+    """
     entries = F.array(*[F.struct(F.lit(i).alias("at"), col(c).cast("string").alias("value"))
                         for i, c in enumerate(columns)])
     values = df.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").distinct()
-    found = values.limit(limit * len(columns) + 1).collect()
+    found = (values.limit(limit * len(columns) + 1) if limit else values).collect()  # each will be a column
     by_column = {i: sorted(r["value"] for r in found if r["at"] == i) for i in range(len(columns))}
-    wide = [c for i, c in enumerate(columns) if len(by_column[i]) > limit]
-    if wide or len(found) > limit * len(columns):
+    wide = [c for i, c in enumerate(columns) if limit and len(by_column[i]) > limit]
+    if wide or (limit and len(found) > limit * len(columns)):
         raise ValueError(f"more than {limit} values to one-hot encode in {wide or list(columns)}")
     kept = [col(c) for c in df.columns if c not in columns]
     flags = [F.coalesce(col(c).cast("string") == F.lit(v), F.lit(False)).alias(f"{c}_{v}")

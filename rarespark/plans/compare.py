@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col
+from ..session import stage
 
 # Names a stored score may have, the mark of an absent parameter, rows listed.
 SCORE_NAMES = ("TOTAL SCORE", "TOTAL_SCORE")
@@ -72,8 +73,10 @@ def compare_params(spark: SparkSession, a: dict, b: dict) -> DataFrame:
 
 def compare_diff_rows(a: dict, b: dict, dataset: DataFrame, id_cols: Sequence[str], n: int = DIFF_ROWS) -> DataFrame:
     """First ``n`` rows flagged by exactly one run, with their data."""
-    differing = _run_flags(a, b, id_cols).where("in_a <> in_b").orderBy(*map(col, id_cols)).limit(n)
-    return differing.join(dataset, list(id_cols), "left").orderBy(*map(col, id_cols))
+    differing = stage(_run_flags(a, b, id_cols).where("in_a <> in_b").orderBy(*map(col, id_cols)).limit(n))
+    # At most n keys go to the dataset, which is scanned once and not shuffled.
+    data = dataset.join(F.broadcast(differing.select(*map(col, id_cols))), list(id_cols))
+    return differing.join(data, list(id_cols), "left").orderBy(*map(col, id_cols))
 
 
 def agreed_rows(data: DataFrame, flags: DataFrame, id_cols: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.text import reason_text
 from ..operators import cells as c
 from ..operators.encode import Domains, discover
 from ..session import stage, with_row_id
+from ..sources.writers import KEEP_BLANKS
 
 REASONS = "array<struct<cols:array<string>,vals:array<string>>>"
 DIMS = range(1, 7)
@@ -341,7 +342,7 @@ class RarityResult:
         path = f"{self.cfg.results_folder}/{self.cfg.results_name}_results_{stamp}.csv"
         flat = self.breakdown_all().withColumns(
             {f"{d}d Explanations": reason_text(col(f"{d}d Explanations")) for d in DIMS})
-        flat.write.option("header", True).csv(path)
+        flat.write.csv(path, header=True, **KEEP_BLANKS)
         return path
 
 

@@ -19,6 +19,8 @@ def build_session(app: str = "rarespark", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         # Very wide score projections run as separate compilable methods, not as one huge one.
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Text files in any code page that Java knows.
+        "spark.sql.legacy.javaCharsets": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, is_nested
 from ..plans.compare import score_column
 
 DATASETS = ("dataset_id bigint, name string, content_hash string, n_rows bigint, n_cols int, "
@@ -21,7 +21,12 @@ def table_fingerprint(df: DataFrame) -> str:
 
     Sums of two row hashes, so duplicates count; one aggregate, no shuffle of rows.
     """
-    columns = [col(c) for c in df.columns]
+    def seen(i: int, f: T.StructField):
+        """A hash that tells the column, and a missing value from none: Spark's own hashes pass over missing values."""
+        value = F.to_json(F.struct(col(f.name)), {"ignoreNullFields": "false"}) if is_nested(f.dataType) else col(f.name)
+        return F.when(col(f.name).isNull(), F.lit(-1 - i).cast("bigint")).otherwise(F.xxhash64(F.lit(i), value))
+
+    columns = [seen(i, f) for i, f in enumerate(df.schema)]
     total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
     row = df.agg(F.count("*").alias("n"), total(F.xxhash64(*columns)).alias("a"),
                  total(F.xxhash64(F.lit(1), *columns, F.hash(*columns))).alias("b"))

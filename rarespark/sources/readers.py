@@ -17,7 +17,7 @@ MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 # Python's names for encodings that Spark spells differently.
 SPARK_ENCODINGS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii"}
 
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_PATTERN = r"^\s*[+-]?\d{1,38}\s*$"
 DECIMAL_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Infinity)\s*$"
 BOOLEAN_PATTERN = r"^(True|False|TRUE|FALSE|true|false)$"
 
@@ -51,25 +51,47 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     raise ValueError(f"could not detect the delimiter of {path}; give it as sep")
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some record may hold a line break: then a line has an odd number of quotes.
+def files_with_line_breaks(spark: SparkSession, path: str) -> set[str]:
+    """Files of which some record may hold a line break: a line has an odd number of quotes.
 
-    Without such records Spark may split large files; with them every file is read by one task.
+    Spark may split all other files; these are read by one task each.
     """
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).where(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
+    return {r["file"] for r in odd.collect()}
+
+
+SURPLUS = "__surplus"
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str = "utf-8",
                    schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Read delimited text; ``multi_line`` (line breaks inside quotes) is found out if not given."""
+    """Read delimited text; ``multi_line`` (line breaks inside quotes) is found out per file if not given.
+
+    Rows shorter than the header end in missing values; a longer row is an error that names its file.
+    """
     encoding = codecs.lookup(encoding).name
     encoding = SPARK_ENCODINGS.get(encoding, encoding)
+    options = dict(header=True, sep=sep, encoding=encoding, escape='"', inferSchema=False)
+    names = spark.read.csv(path, multiLine=True if multi_line is None else multi_line, **options).columns
+    wide = T.StructType([T.StructField(c, T.StringType()) for c in [*names, SURPLUS]])
+
+    def read(files: str | list[str], spanning: bool) -> DataFrame:
+        return spark.read.schema(wide).csv(files, multiLine=spanning, **options)
+
+    if multi_line is None and encoding.startswith(("utf-16", "utf-32")):
+        multi_line = True
     if multi_line is None:
-        multi_line = encoding.startswith(("utf-16", "utf-32")) or spans_lines(spark, path)
-    text = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=multi_line, escape='"',
-                          inferSchema=False)
-    text = text.select(*[F.when(~col(c).isin(*MISSING_TOKENS), col(c)).alias(c) for c in text.columns])
+        spanning = files_with_line_breaks(spark, path)
+        every = spark.read.text(path).inputFiles() if spanning else []
+        plain = [f for f in every if f not in spanning]
+        text = read(sorted(spanning), True) if spanning else read(path, False)
+        text = text.unionByName(read(plain, False)) if plain else text
+    else:
+        text = read(path, multi_line)
+    wrong = F.raise_error(F.concat(F.lit("a row has more fields than the header in "), F.input_file_name())).cast("string")
+    checked = lambda c: F.when(F.col(SURPLUS).isNotNull(), wrong).otherwise(col(c))
+    text = text.select(*[F.when(~col(c).isin(*MISSING_TOKENS), checked(c) if i == 0 else col(c)).alias(c) for i, c in enumerate(names)])
     if schema is None:
         return infer_types(text)
     types = {f.name: f.dataType for f in T.StructType.fromDDL(schema)}
@@ -78,11 +100,16 @@ def read_delimited(spark: SparkSession, path: str, sep: str, encoding: str = "ut
 
 
 def infer_types(text: DataFrame) -> DataFrame:
-    """Whole numbers, numbers, booleans or text: the narrowest type that every value of a column has."""
-    tests = {"bigint": INTEGER_PATTERN, "double": DECIMAL_PATTERN, "boolean": BOOLEAN_PATTERN}
+    """Whole numbers, numbers, booleans or text: the narrowest type that every value of a column has.
+
+    Whole numbers beyond ``bigint`` become ``decimal(38,0)``, so that no digit is lost.
+    """
+    tests = {"bigint": lambda v: v.rlike(WHOLE_PATTERN) & F.trim(v).try_cast("bigint").isNotNull(),
+             "decimal(38,0)": lambda v: v.rlike(WHOLE_PATTERN), "double": lambda v: v.rlike(DECIMAL_PATTERN),
+             "boolean": lambda v: v.rlike(BOOLEAN_PATTERN)}
 
-    def all_match(value: Column, pattern: str) -> Column:
-        return F.coalesce(F.bool_and(value.rlike(pattern)), F.lit(False))
+    def all_match(value: Column, test) -> Column:
+        return F.coalesce(F.bool_and(F.when(value.isNotNull(), test(value))), F.lit(False))
 
     row = text.agg(*[all_match(col(c), p).alias(f"{t}{i}")
                      for i, c in enumerate(text.columns) for t, p in tests.items()],

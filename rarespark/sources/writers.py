@@ -12,6 +12,10 @@ FORMATS = ("csv", "parquet", "json")
 TARGETS = ("flagged", "all", "summary")
 
 
+# Spark would cut blanks at the ends of a cell.
+KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def flatten_nested(df: DataFrame) -> DataFrame:
     """Reasons as readable text, other nested columns as JSON, for formats without nesting."""
     def flat(f: T.StructField):
@@ -35,7 +39,7 @@ def export(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists") -> s
         raise ValueError(f"Unknown export format: {fmt}")
     if fmt == "csv":
         safe = sanitize_for_spreadsheet(flatten_nested(df))
-        safe.write.mode(mode).csv(path, header=True, escape='"')
+        safe.write.mode(mode).csv(path, header=True, escape='"', **KEEP_BLANKS)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

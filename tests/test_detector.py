@@ -293,3 +293,14 @@ def test_result_views(staff_run):
     assert legal["APAC"] == 2
     assert results.inspect_row(staff_run, {"row_id": 597}).count() > 0
     assert "Number of rows: 600" in staff_run.run_summary()
+
+
+def test_zero_has_one_sign(spark):
+    """Minus zero is zero, whether values are listed or patterns are grouped."""
+    df = spark.createDataFrame([(i, [0.0, -0.0, 1.0, 2.0][i % 4], "ab"[i % 2]) for i in range(80)], "row_id bigint, x double, y string")
+    scores = []
+    for limit in (1, 1 << 20):
+        result = RarityDetector(max_group_patterns=limit, threshold=0.5).fit_predict(df, features=["x", "y"], id_cols=["row_id"])
+        assert {c.name: c.size for c in result.columns}["x"] == 3
+        scores.append(sorted(map(tuple, result["Scores"].collect())))
+    assert scores[0] == scores[1]

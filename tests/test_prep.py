@@ -92,6 +92,9 @@ def test_encodings(frame):
     assert sorted(r["cat"] for r in coded.collect()) == [-1, 0, 1, 1, 1]
     with pytest.raises(ValueError, match="one-hot"):
         prep.one_hot(frame, ["when"], limit=3)
+    assert len(prep.one_hot(frame, ["when"]).columns) == 3 + 5
+    with pytest.raises(ValueError, match="scaling must be one of"):
+        PreprocessConfig(scaling="log")
 
 
 def test_parallel_ranks_equal_sorted_ranks(spark, monkeypatch):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from rarespark.functions.text import reason_lines, safe_label, sanitize_for_spreadsheet
 from rarespark.plans import compare
 from rarespark.sources.catalog import Catalog, table_fingerprint
-from rarespark.sources.readers import load, spans_lines
+from rarespark.sources.readers import files_with_line_breaks, load
 from rarespark.sources.writers import export, export_result
 from rarespark import RarityDetector
 
@@ -26,13 +26,50 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
 def test_split_reading_and_given_types(spark, tmp_path):
     plain = write(tmp_path / "p.csv", 'a,b\n1,"x, y"\n2,"say ""hi"""\n')
     broken = write(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n')
-    assert not spans_lines(spark, plain) and spans_lines(spark, broken)
+    assert not files_with_line_breaks(spark, plain) and len(files_with_line_breaks(spark, broken)) == 1
     assert load(spark, plain).orderBy("a").collect()[1]["b"] == 'say "hi"'
     assert load(spark, broken).first()["b"] == "x\ny"
     assert load(spark, plain, schema="a double, b string").dtypes == [("a", "double"), ("b", "string")]
 
 
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    write(folder / "a.csv", 'a,b\n1,x\n2,y\n')
+    write(folder / "b.csv", 'a,b\n3,"x\ny"\n')
+    df = load(spark, str(folder))
+    assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, "y"), (3, "x\ny")]
+
+
+def test_rows_that_do_not_fit_the_header(spark, tmp_path):
+    with pytest.raises(Exception, match="more fields than the header.*long.csv"):
+        load(spark, write(tmp_path / "long.csv", "a,b\n1,2\n3,4,5\n"))
+    assert [tuple(r) for r in load(spark, write(tmp_path / "short.csv", "a,b\n1,2\n3\n")).collect()] == [(1, 2), (3, None)]
+
+
+def test_long_whole_numbers(spark, tmp_path):
+    df = load(spark, write(tmp_path / "n.csv", "id,huge\n1234567890123456789,12345678901234567890123\n1234567890123456788,-1\n"))
+    assert df.dtypes == [("id", "bigint"), ("huge", "decimal(38,0)")]
+    assert [int(v) for v in df.first()] == [1234567890123456789, 12345678901234567890123]
+
+
+def test_blanks_survive_csv(spark, tmp_path):
+    rows = [(1, "  lead"), (2, "trail "), (3, " ")]
+    export(spark.createDataFrame(rows, "n bigint, t string"), str(tmp_path / "blank.csv"), "csv")
+    assert sorted(map(tuple, load(spark, str(tmp_path / "blank.csv")).collect())) == rows
+
+
+def test_fingerprints_see_where_values_are_missing(spark, tmp_path):
+    a, b = (spark.createDataFrame([r], "x bigint, y bigint, z array<bigint>") for r in ((None, 5, [None, 5]), (5, None, [None, 5])))
+    c = spark.createDataFrame([(None, 5, [5, None])], a.schema)
+    assert len({table_fingerprint(t) for t in (a, b, c)}) == 3
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    ids = [catalog.save_dataset(t, "t") for t in (a, b, c)]
+    assert len(set(ids)) == 3 and [tuple(catalog.load_dataset(i).first()) for i in ids] == [tuple(t.first()) for t in (a, b, c)]
+
+
 def test_separators_and_encodings(spark, tmp_path):
+    assert load(spark, write(tmp_path / "e.csv", "a\n“€”\n", "cp1252"), encoding="cp1252").first()[0] == "“€”"
     assert load(spark, write(tmp_path / "b.csv", "a;b\n1;x\n"), sep=";").first() == (1, "x")
     assert load(spark, write(tmp_path / "c.TXT", "a|b\n1|x\n2|y\n")).columns == ["a", "b"]
     assert load(spark, write(tmp_path / "d.csv", "a\nÄ\n", "latin-1"), encoding="latin-1").first()[0] == "Ä"
