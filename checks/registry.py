@@ -108,9 +108,9 @@ INPUTS = {"events": (events, ["event_id"], EVENT_FEATURES), "nulls": (events_wit
           "joined": (joined, JOIN_IDS, JOIN_FEATURES)}
 
 
-def detect(spark, sf_dir, source: str, **params):
+def detect(spark, sf_dir, source: str, like=None, **params):
     read, ids, features = INPUTS[source]
-    return RarityDetector(**params).fit_predict(read(spark, sf_dir), features=[f for f, _ in features], id_cols=ids)
+    return RarityDetector(**params).fit_predict(read(spark, sf_dir), features=[f for f, _ in features], id_cols=ids, like=like)
 
 
 # -- A. sources -----------------------------------------------------------------------------------
@@ -748,8 +748,8 @@ def _catalog(spark) -> Catalog:
     return Catalog(spark, scratch_path(spark, "catalog"))
 
 
-def _save(catalog: Catalog, spark, sf_dir, dataset_id: int, label: str, **params) -> int:
-    run = detect(spark, sf_dir, "events", **params)
+def _save(catalog: Catalog, spark, sf_dir, dataset_id: int, label: str, run=None, **params) -> int:
+    run = run or detect(spark, sf_dir, "events", **params)
     summary = [r.asDict() for r in run.flagged_summary().collect()]
     return catalog.save_run(dataset_id, label, {"features": [f for f, _ in EVENT_FEATURES], **params}, summary, run.breakdown_all())
 
@@ -757,8 +757,10 @@ def _save(catalog: Catalog, spark, sf_dir, dataset_id: int, label: str, **params
 def _two_runs(spark, sf_dir):
     catalog = _catalog(spark)
     data = catalog.save_dataset(events(spark, sf_dir), "events")
-    a = _save(catalog, spark, sf_dir, data, "wide", threshold=0.5)
-    b = _save(catalog, spark, sf_dir, data, "plain", threshold=0.05, max_dimensions=2)
+    wide = detect(spark, sf_dir, "events", threshold=0.5)
+    plain = detect(spark, sf_dir, "events", like=wide, threshold=0.05, max_dimensions=2)
+    a = _save(catalog, spark, sf_dir, data, "wide", wide, threshold=0.5)
+    b = _save(catalog, spark, sf_dir, data, "plain", plain, threshold=0.05, max_dimensions=2)
     return catalog, data, catalog.load_run(a), catalog.load_run(b)
 
 

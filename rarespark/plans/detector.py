@@ -21,6 +21,8 @@ DIMS = range(1, 7)
 LITERAL_SETS = 128  # column sets whose bitmaps are written into the score projection
 BROADCAST_BYTES = 256 << 20  # measured size of a table of hit patterns that may be broadcast
 TOTAL = "TOTAL SCORE"
+# What the profile and the value patterns of a table depend on.
+ENCODING_FIELDS = ("n_bins", "bin_names", "min_values_per_column", "max_values_per_column", "max_group_patterns")
 
 
 class RarityDetector:
@@ -34,9 +36,12 @@ class RarityDetector:
         self.result: RarityResult | None = None
 
     def fit_predict(self, df: DataFrame, features: Sequence[str] | None = None,
-                    id_cols: Sequence[str] | None = None) -> "RarityResult":
+                    id_cols: Sequence[str] | None = None, like: RarityResult | None = None) -> RarityResult:
         """Run on ``features`` (default: all columns that are not ids).
 
+        ``like`` is an earlier run on the same table: if features and encoding are the same too, its profile and value
+        patterns are taken over instead of being made again.
+
         Rows are identified by ``id_cols``. By default a ``row_id`` is assigned, and the table stored
         once with it; ``id_cols=[]`` does without ids, and result tables then keep the input columns.
         """
@@ -52,7 +57,7 @@ class RarityDetector:
             df, ids = with_row_id(df), ["row_id"]
         elif self.config.stage_input:
             df = stage(df)
-        self.result = RarityResult(df, features, ids, self.config)
+        self.result = RarityResult(df, features, ids, self.config, like)
         return self.result
 
     def get_most_flagged_rows(self) -> DataFrame:
@@ -69,12 +74,13 @@ class RarityResult:
     join, no row ids needed.
     """
 
-    def __init__(self, df: DataFrame, features: list[str], ids: list[str], cfg: RarityConfig):
+    def __init__(self, df: DataFrame, features: list[str], ids: list[str], cfg: RarityConfig, like: RarityResult | None = None):
         started = time.monotonic()
         self.df, self.features, self.cfg = df, features, cfg
         self.ids = ids or df.columns
         self.spark = df.sparkSession
-        self.domains: Domains = discover(df, features, cfg)
+        same = like is not None and like.features == features and all(getattr(like.cfg, f) == getattr(cfg, f) for f in ENCODING_FIELDS)
+        self.domains: Domains = like.domains if same else discover(df, features, cfg)
         self.columns = self.domains.columns
         self.rows = self.domains.rows
         self.truncated = False
