@@ -51,6 +51,10 @@ def r6(column, name: str):
 EVENTS_SQL = "SELECT event_id, event_type, value, user_id FROM events"
 NULLS_SQL = ("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type, "
              "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, user_id FROM events")
+# Endless numbers count as the finite ends of their column.
+FINITE = "(SELECT {}(value) FROM events WHERE event_id % 23 <> 0 AND event_id % 29 <> 0)"
+ENDLESS_SQL = (f"SELECT event_id, event_type, CASE WHEN event_id % 23 = 0 THEN {FINITE.format('max')} WHEN event_id % 29 = 0 "
+               f"THEN {FINITE.format('min')} ELSE value END AS value, user_id FROM events")
 LINES_SQL = ("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, "
              "l_linestatus FROM lineitem")
 DOCS_SQL = "SELECT doc_id, lang, source, n_chars FROM documents"
@@ -69,6 +73,7 @@ EVENTS = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES)
 EVENTS_HALF = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES, 0.5)
 EVENTS_MARGINAL = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES, 0.5, marginal=True)
 NULLS = RareSql(NULLS_SQL, ["event_id"], EVENT_FEATURES, 0.5)
+ENDLESS = RareSql(ENDLESS_SQL, ["event_id"], EVENT_FEATURES, 0.5)
 LINES = RareSql(LINES_SQL, LINE_IDS, LINE_FEATURES, 0.5)
 DOCS = RareSql(DOCS_SQL, ["doc_id"], DOC_FEATURES, 0.5)
 DOCS_MARGINAL = RareSql(DOCS_SQL, ["doc_id"], DOC_FEATURES, 0.5, marginal=True)
@@ -86,6 +91,12 @@ def events_with_nulls(spark, sf_dir):
         F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), "user_id")
 
 
+def events_endless(spark, sf_dir):
+    value = (F.when(F.col("event_id") % 23 == 0, F.lit(float("inf"))).when(F.col("event_id") % 29 == 0, F.lit(float("-inf")))
+             .otherwise(F.col("value")))
+    return events(spark, sf_dir).withColumn("value", value)
+
+
 def lines(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(*LINE_IDS, *[f for f, _ in LINE_FEATURES])
 
@@ -104,6 +115,7 @@ def joined(spark, sf_dir):
 
 
 INPUTS = {"events": (events, ["event_id"], EVENT_FEATURES), "nulls": (events_with_nulls, ["event_id"], EVENT_FEATURES),
+          "endless": (events_endless, ["event_id"], EVENT_FEATURES),
           "lines": (lines, LINE_IDS, LINE_FEATURES), "docs": (docs, ["doc_id"], DOC_FEATURES),
           "joined": (joined, JOIN_IDS, JOIN_FEATURES)}
 
@@ -168,6 +180,18 @@ def export_csv_roundtrip(spark, sf_dir):
     return readers.load(spark, path)
 
 
+@register("export_targets",
+          f"{EVENTS_HALF.ctes()} SELECT count(*) FILTER (WHERE {EVENTS_HALF.total()} > 0) AS flagged_rows, count(*) AS all_rows, CAST(1 AS BIGINT) AS summary_rows, "
+          f"CAST(sum({EVENTS_HALF.total()}) AS BIGINT) AS total_score FROM flags")
+def export_targets(spark, sf_dir):
+    """Flagged rows, all rows and the summary of a run, written and read back."""
+    run = detect(spark, sf_dir, "events", threshold=0.5)
+    back = {t: spark.read.parquet(writers.export_result(run, scratch_path(spark, t), "parquet", t)) for t in writers.TARGETS}
+    return spark.createDataFrame([(back["flagged"].count(), back["all"].count(), back["summary"].count(),
+                                   back["all"].agg(F.sum(col("TOTAL SCORE"))).first()[0])],
+                                 "flagged_rows bigint, all_rows bigint, summary_rows bigint, total_score bigint")
+
+
 @register("export_parquet_roundtrip", MARKED_SQL)
 def export_parquet_roundtrip(spark, sf_dir):
     path = writers.export(marked_conversations(spark, sf_dir), scratch_path(spark, "out.parquet"), "parquet")
@@ -567,6 +591,9 @@ def _scores(spark, sf_dir, source, **params):
 
 register("row_scores", _scores_sql(LINES))(partial(_scores, source="lines", threshold=0.5))
 register("row_scores_nulls", _scores_sql(NULLS))(partial(_scores, source="nulls", threshold=0.5))
+register("row_scores_endless", _scores_sql(ENDLESS))(partial(_scores, source="endless", threshold=0.5))
+# A budget that is never used up changes nothing, though every dimension is then a job of its own.
+register("row_scores_budget", _scores_sql(EVENTS_HALF))(partial(_scores, source="events", threshold=0.5, max_execution_seconds=1e6))
 register("row_scores_6d", _scores_sql(JOINED))(partial(_scores, source="joined", threshold=0.7, max_dimensions=6))
 # The same scores when columns have to be counted in several groups.
 register("row_scores_grouped", _scores_sql(LINES))(partial(_scores, source="lines", threshold=0.5, max_group_patterns=2000))
@@ -742,6 +769,25 @@ def isolation_forest(spark, sf_dir):
     return iforest.isolation_scores(events(spark, sf_dir), [f for f, _ in EVENT_FEATURES], ["event_id"])
 
 
+@register("isolation_forest_properties",
+          "SELECT count(*) + 3 AS rows_scored, count(*) + 3 AS in_range, CAST(3 AS BIGINT) AS planted_on_top, "
+          "CAST(least(256, count(*) + 3) AS BIGINT) AS least_tree, CAST(least(256, count(*) + 3) AS BIGINT) AS largest_tree, CAST(100 AS BIGINT) AS trees FROM events")
+def isolation_forest_properties(spark, sf_dir):
+    """Every row is scored once, planted extremes come out on top, and all trees have the same number of rows."""
+    rows = events(spark, sf_dir).select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
+    ends = rows.agg(F.max("value").alias("v"), F.max("user_id").alias("u"))
+    planted = ends.select(F.explode(F.array(*[F.lit(i).cast("bigint") for i in (-1, -2, -3)])).alias("event_id"), (F.col("v") * 50).alias("value"),
+                          (F.col("u") * 50).alias("user_id"))
+    rows = rows.unionByName(planted)
+    scores = iforest.isolation_scores(rows, ["value", "user_id"], ["event_id"])
+    on_top = sum(r["event_id"] < 0 for r in scores.orderBy(F.desc("score"), "event_id").limit(3).collect())
+    sizes = iforest.tree_samples(rows.select(F.col("value").alias("f0")), rows.count(), iforest.TREES, iforest.SAMPLE, 0).groupBy("tree").count()
+    sizes = sizes.agg(F.min("count"), F.max("count"), F.count("*")).first()
+    return scores.agg(
+        F.count_distinct("event_id").alias("rows_scored"), F.count_if((F.col("score") > 0) & (F.col("score") < 1)).alias("in_range"),
+        *[F.lit(v).cast("bigint").alias(c) for c, v in zip(("planted_on_top", "least_tree", "largest_tree", "trees"), (on_top, *sizes))])
+
+
 # -- J. catalog and run comparison ----------------------------------------------------------------
 
 def _catalog(spark) -> Catalog:
