@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import stage
 
 RANK_IN_ONE_TASK = 100_000  # distinct values that may be ranked in one task
-BROADCAST_BYTES = 64 << 20  # size of a dictionary that may be broadcast
+BROADCAST_BYTES = 64 << 20  # size of all dictionaries together that may be broadcast
+NULL_SALTS = 1009  # over so many keys missing values are spread in a shuffled join
 
 
 def rank_values(values: DataFrame) -> DataFrame:
@@ -40,11 +41,15 @@ def ordinal_codes(df: DataFrame, values: Mapping[str, Column], missing: int = -1
     codes = stage(rank_values(distinct))
     sizes = {r["at"]: r["bytes"] for r in
              codes.groupBy("at").agg(F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
-    for i in range(len(names)):
+    left = BROADCAST_BYTES
+    for i in sorted(range(len(names)), key=lambda i: sizes.get(i, 0)):
         one = codes.where(F.col("at") == i).select(F.col("value").alias(f"__t{i}"), F.col("code").alias(f"__c{i}"))
-        if sizes.get(i, 0) <= BROADCAST_BYTES:
-            one = F.broadcast(one)
-        keyed = keyed.join(one, f"__t{i}", "left")
+        left -= sizes.get(i, 0)
+        if left >= 0:
+            keyed = keyed.join(F.broadcast(one), f"__t{i}", "left")
+        else:  # both sides are plain, so Spark can split a hot value; missing values match nothing and are spread
+            salt = F.when(F.col(f"__t{i}").isNull(), F.monotonically_increasing_id() % NULL_SALTS).otherwise(0)
+            keyed = keyed.withColumn("__s", salt).join(one.withColumn("__s", F.lit(0).cast("bigint")), [f"__t{i}", "__s"], "left").drop("__s")
     at = {n: i for i, n in enumerate(names)}
     return keyed.select(*[
         F.coalesce(F.col(f"__c{at[n]}"), F.lit(missing)).cast("bigint").alias(n) if n in at

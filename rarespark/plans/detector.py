@@ -19,7 +19,7 @@ from ..sources.writers import KEEP_BLANKS
 REASONS = "array<struct<cols:array<string>,vals:array<string>>>"
 DIMS = range(1, 7)
 LITERAL_SETS = 128  # column sets whose bitmaps are written into the score projection
-BROADCAST_BYTES = 256 << 20  # measured size of a table of hit patterns that may be broadcast
+BROADCAST_BYTES = 256 << 20  # measured size of all tables of hit patterns together that may be broadcast
 TOTAL = "TOTAL SCORE"
 # What the profile and the value patterns of a table depend on.
 ENCODING_FIELDS = ("n_bins", "bin_names", "min_values_per_column", "max_values_per_column", "max_group_patterns")
@@ -143,10 +143,11 @@ class RarityResult:
         if self.hits is None:
             return coded.select("*", *[F.expr(c.hit_sql(self.plan.sets[pos], words)).alias(f"__hit{pos}")
                                        for pos, words in sorted(self.words.items())])
-        found = []
-        for g, size in sorted(self.hit_rows.items()):
+        found, left = [], BROADCAST_BYTES
+        for g, size in sorted(self.hit_rows.items(), key=lambda x: (x[1], x[0])):
+            left -= size
             one = self.hits.where(F.col("grp") == g).select(F.col("key").alias(f"__key{g}"), F.col("hits").alias(f"__found{g}"))
-            one = F.broadcast(one) if size <= BROADCAST_BYTES else one
+            one = F.broadcast(one) if left >= 0 else one
             key = F.expr(self.groups[g].key_sql()).alias(f"__key{g}")
             coded = coded.select("*", key).join(one, f"__key{g}", "left")
             found.append(F.coalesce(F.col(f"__found{g}"), F.array().cast("array<int>")))
