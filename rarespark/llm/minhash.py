@@ -40,7 +40,7 @@ SLOTS = BANDS * ROWS
 #: Bits of the bitmap that tells candidates; two rows may share one, which only costs work.
 BITMAP = 1 << 26
 #: Members of a bucket that a task compares at once.
-BLOCK = 256
+BLOCK = 1_024
 
 SIGNED = "doc_id bigint, digest binary, n_shingles bigint, signature binary, bands array<bigint>"
 SETS = "id bigint, part bigint, shingles binary"
