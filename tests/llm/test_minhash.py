@@ -70,8 +70,10 @@ def test_against_brute_force(spark, width):
     assert sorted(map(tuple, got), key=repr) == brute(rows, width)
 
 
-def test_dense_bucket_of_unlike_texts(spark):
+@pytest.mark.parametrize("block", [16, 1024])
+def test_dense_bucket_of_unlike_texts(spark, monkeypatch, block):
     """Texts around similarity 0.7 share buckets but few links: nothing may be lost, nothing emitted as all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(100)]
     rows = []
