@@ -84,16 +84,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """One hidden layer; inputs are scaled to the training rows."""
 
-    def __init__(self, rows: np.ndarray, seed: int):
+    def __init__(self, samples: tuple[np.ndarray, ...], seed: int):
         rng = np.random.default_rng(seed)
-        self.middle, self.spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-        self.weights = [rng.normal(0, 1 / np.sqrt(rows.shape[1]), (rows.shape[1], HIDDEN)), np.zeros(HIDDEN),
+        n, width = sum(map(len, samples)), samples[0].shape[1]
+        self.middle = sum(s.sum(axis=0, dtype=np.float64) for s in samples) / n
+        self.spread = np.sqrt(sum(np.square(s - self.middle.astype(np.float32)).sum(axis=0, dtype=np.float64) for s in samples) / n) + 1e-6
+        self.weights = [rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), np.zeros(HIDDEN),
                         rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         self.moments = [[np.zeros_like(w) for w in self.weights] for _ in range(2)]
         self.steps = 0
 
     def scaled(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.middle) / self.spread, -8, 8)
+        """Single precision: samples are kept on the driver."""
+        return np.clip((rows - self.middle.astype(np.float32)) / self.spread.astype(np.float32), -8, 8)
 
     def outputs(self, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hidden = np.maximum(scaled @ self.weights[0] + self.weights[1], 0)
@@ -110,12 +113,12 @@ class Network:
             w -= rate * (m / (1 - 0.9 ** self.steps)) / (np.sqrt(v / (1 - 0.999 ** self.steps)) + 1e-8)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.outputs(self.scaled(rows))[1])
+        return _sigmoid(self.outputs(self.scaled(rows).astype(np.float64))[1])
 
 
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int, epochs: int) -> Network:
     """With a prior: on the non-negative risk. Without: positives against unlabelled rows."""
-    net, rng = Network(np.vstack([positive, unlabelled]), seed), np.random.default_rng(seed + 1)
+    net, rng = Network((positive, unlabelled), seed), np.random.default_rng(seed + 1)
     p_rows, u_rows = net.scaled(positive), net.scaled(unlabelled)
     batch = 256
     for epoch in range(epochs):
@@ -123,7 +126,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, se
         for at in range(0, max(len(u_rows), len(p_rows)), batch):
             p = p_rows[rng.integers(0, len(p_rows), batch)]
             u = u_rows[rng.integers(0, len(u_rows), batch)]
-            rows = np.vstack([p, u])
+            rows = np.vstack([p, u]).astype(np.float64)
             hidden, out = net.outputs(rows)
             s = _sigmoid(out)
             sp, su = s[:batch], s[batch:]
@@ -193,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, float] | No
     got = got.sort_values("doc_id", key=lambda s: s * 0x9E3779B1 % (1 << 31))
     matrix = np.frombuffer(b"".join(got["figures"]), dtype=np.float32).reshape(len(got), WIDTH)
     positive = got["positive"].to_numpy(dtype=bool)
-    return fit(matrix[positive].astype(np.float64), matrix[~positive].astype(np.float64))
+    return fit(matrix[positive], matrix[~positive])
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,7 +223,7 @@ def apply(documents: DataFrame, model: tuple[Network, float] | None) -> DataFram
         network, prior = sent.value
         for batch in chunks(batches):
             # Rounded: sums of a matrix product differ in their last digits with the number of rows beside.
-            scores = np.round(network.score(features(batch.column("text")).astype(np.float64)), 6)
+            scores = np.round(network.score(features(batch.column("text"))), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(np.full(batch.num_rows, prior))],
                                              names=[*batch.schema.names, "__score", "__prior"])
 

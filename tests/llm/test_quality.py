@@ -69,7 +69,7 @@ def test_features_do_not_depend_on_neighbours():
 def test_risk_is_never_pushed_below_zero():
     """With separable rows and a prior of 0.5 the network splits them."""
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(2, 1, (600, 4)), rng.normal(-2, 1, (300, 4))
+    good, bad = (rng.normal(m, 1, (n, 4)).astype(np.float32) for m, n in ((2, 600), (-2, 300)))
     net, prior = quality.fit(good[:300], np.vstack([good[300:], bad]))
     assert 0.4 < prior < 0.65
     assert (net.score(good) > 0.5).mean() > 0.95 and (net.score(bad) < 0.5).mean() > 0.95
