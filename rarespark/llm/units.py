@@ -3,11 +3,12 @@
 A text is cut into units; a unit's digest is taken of its normalised form (lower case, white space runs as one blank).
 Of all units with one digest the earliest stays, by ``doc_id`` (missing last), then text digest, then place in the
 text; the others are removed. What stays of a text is joined as it was cut, and the removed units keep their
-original offsets. Units of fewer than ``min_words`` words are left alone: they repeat in clean texts too.
+original offsets. Every unit that holds a word counts, so a passage laid out in short lines goes line by line; units of
+fewer than ``min_words`` words are left alone if a caller asks for it.
 
 At scale: digests are grouped with partial sums, so a unit that stands in a third of all texts costs a record per task.
 The repeated digests are stored and joined back to the units from two plain scans, a join whose hot keys Spark
-splits. Texts are shuffled once, beside the numbers of their removed units.
+splits. Texts are shuffled once, beside the numbers of their removed units; those that lose any are cut in Arrow batches.
 
 Missing texts count as empty; rows with equal ``doc_id`` and text count as one document and lose the same units. An
 empty table gives an empty result; other columns pass through or are ignored.
@@ -15,14 +16,16 @@ empty table gives an empty result; other columns pass through or are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage, unstage
 from .common import WORD
 
 CUTS = {"line": "\n", "paragraph": "\n\n"}
-#: Shorter units stay. Twenty words rarely repeat by chance.
+#: The bound that the registered SQL form was given; the operator has none by itself.
 MIN_WORDS = 20
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def normalised(unit: Column) -> Column:
@@ -50,7 +53,27 @@ def removed_units(keyed: DataFrame, cut: str, min_words: int) -> DataFrame:
     return out
 
 
-def dedup(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def _cutter(cut: str):
+    """What stays of a text without the units of the given numbers, and their offsets, in time linear in its units."""
+    def work(text: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for whole, numbers in zip(text, gone):
+            if not whole.is_valid:
+                out.append(None)
+                continue
+            left, spans, at, drop = [], [], 0, set(numbers.as_py())
+            for i, unit in enumerate(whole.as_py().split(cut)):
+                if i in drop:
+                    spans.append({"start": at, "end": at + len(unit)})
+                else:
+                    left.append(unit)
+                at += len(unit) + len(cut)
+            out.append({"text": cut.join(left), "removed": spans})
+        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+    return F.arrow_udf(work, f"struct<text:string,removed:{SPANS}>")
+
+
+def dedup(documents: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """The documents with ``text`` cut down to what stays.
 
     Two more columns: ``n_units`` and ``removed``, an array of ``start`` and ``end`` in characters of the original text.
@@ -59,33 +82,24 @@ def dedup(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
     columns = documents.columns
     keyed = _keyed(documents)
     joined = keyed.join(removed_units(keyed, cut, min_words), "__key", "left")
-    units = joined.withColumn("__units", F.split("text", cut))
-    # Numbers of the removed units as map keys: a look-up per unit instead of a search.
-    marked = units.withColumn("__gone", F.map_from_entries(F.transform(
-        F.coalesce("__gone", F.array().cast("array<int>")), lambda i: F.struct(i, F.lit(True)))))
-    gone = lambda i: F.coalesce(F.element_at("__gone", i), F.lit(False))
-    kept = F.array_join(F.filter("__units", lambda u, i: ~gone(i)), cut)
-    ends = F.aggregate("__units", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), F.array().cast(
-        "array<struct<start:bigint,end:bigint>>").alias("spans")), lambda s, u: F.struct(
-            (s["at"] + F.length(u) + len(cut)).alias("at"), (s["i"] + 1).alias("i"),
-            F.when(gone(s["i"]), F.concat(s["spans"], F.array(F.struct(
-                s["at"].alias("start"), (s["at"] + F.length(u)).alias("end"))))).otherwise(s["spans"]).alias("spans")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    touched = F.size("__gone") > 0
-    return marked.select(
-        *[(F.when(touched, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in columns
+    touched = F.col("__gone").isNotNull()
+    # Texts that lose nothing do not travel to Python.
+    cut_down = joined.withColumn("__left", _cutter(cut)(F.when(touched, F.col("text")), F.col("__gone")))
+    none = F.array().cast(SPANS)
+    return cut_down.select(
+        *[(F.when(touched, F.col("__left.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in columns
           if c not in ("n_units", "removed")],
-        F.size("__units").cast("bigint").alias("n_units"), F.when(touched, ends["spans"]).otherwise(none).alias("removed"))
+        F.size(F.split("text", cut)).cast("bigint").alias("n_units"), F.when(touched, F.col("__left.removed")).otherwise(none).alias("removed"))
 
 
-def dedup_text(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_text(documents: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """The documents with their own columns only, whatever these are called, and ``text`` cut down to what stays."""
     packed = documents.select("doc_id", "text", F.struct("*").alias("row"))
     out = dedup(packed, unit, min_words)
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
-def report(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def report(documents: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """Per document: ``doc_id, n_units, n_removed, removed_spans`` (as ``start:end``, by place) and ``kept_text``."""
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), " ")
     return dedup(documents.select("doc_id", "text"), unit, min_words).select(

@@ -40,3 +40,15 @@ def test_columns_pass_and_empty(spark):
     assert units.report(docs.limit(0)).count() == 0
     paragraphs = units.dedup(spark.createDataFrame([(1, f"{LONG}\n\nb"), (2, f"a\n\n{LONG}")], "doc_id bigint, text string"), "paragraph")
     assert {(r.doc_id, r.text) for r in paragraphs.collect()} == {(1, f"{LONG}\n\nb"), (2, "a")}
+
+
+def test_short_lines_and_passages_of_short_lines(spark):
+    """Without a bound given, every unit with a word is looked at; blank ones stay."""
+    verse = "\n".join(f"verse {i}" for i in range(30))
+    rows = [(1, f"Own one\nLicensed under MIT\n\n{verse}"), (2, f"Own two\n licensed  under mit\n\n{verse}"), (3, "Own three\n\nLicensed under MIT"),
+            (4, "x\n" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, units.report(docs).collect()), key=repr)
+    assert got == brute(rows, 1)
+    assert {r[0]: r[4] for r in got} == {1: rows[0][1], 2: "Own two\n", 3: "Own three\n", 4: "x\n"}
+    assert {r.doc_id: r.text for r in units.dedup_text(docs).collect()} == {r[0]: r[4] for r in got}
