@@ -97,6 +97,21 @@ def apportion(parties: DataFrame, group: Sequence[str], weight: str, seats: str,
             .select(*columns, (F.col("sure") + F.col("won")).alias("quota")))
 
 
+def _filled(quotas: DataFrame) -> DataFrame:
+    """``quotas`` (with ``words``, ``room`` and the source's ``source_words``) with the words that shards could not give added to others.
+
+    Bundles first, then the shards within each.
+    """
+    bundle = [*SOURCE, "bundle"]
+    earlier = lambda group, order: F.coalesce(F.sum("room").over(
+        Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = lambda surplus, before: F.greatest(F.lit(0), F.least("room", surplus - before))
+    surplus = F.col("source_words") - F.sum("words").over(Window.partitionBy(*SOURCE))
+    extra = (quotas.groupBy(*bundle, "source_words").agg(F.sum("words").alias("words"), F.sum("room").alias("room"))
+             .select(*bundle, share(surplus, earlier(SOURCE, "bundle")).alias("extra")))
+    return quotas.join(extra, bundle).withColumn("words", F.col("words") + share(F.col("extra"), earlier(bundle, "shard")))
+
+
 def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2,
         block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED,
         keep: Sequence[str] = ()) -> DataFrame:
@@ -120,9 +135,11 @@ def mix(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     bundles = apportion(bundles.join(sources.select(*SOURCE, "source_quota"), SOURCE), SOURCE, "bundle_size",
                         "source_quota", ["bundle"]).select(*SOURCE, "bundle", F.col("quota").alias("bundle_quota"))
     quotas = (apportion(held.join(bundles, [*SOURCE, "bundle"]), [*SOURCE, "bundle"], "shard_size", "bundle_quota", ["shard"])
-              .join(sources.select(*SOURCE, "source_size", "target"), SOURCE)
-              .select(*SOURCE, "shard", "shard_size", "source_size", "target",
-                      F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeats).alias("words")))
+              .join(sources.select(*SOURCE, "source_quota", "source_size", "target"), SOURCE)
+              .withColumn("source_words", F.least(F.col("source_quota") * block_words, F.col("source_size") * max_repeats))
+              .withColumn("words", F.least(F.col("quota") * block_words, F.col("shard_size") * max_repeats))
+              .withColumn("room", F.col("shard_size") * max_repeats - F.col("words")))
+    quotas = _filled(stage(quotas)).select(*SOURCE, "shard", "shard_size", "source_size", "target", "words")
 
     rows = (sizes(documents, seed, keep) if keep else sized).withColumn("shard", shard)
     stream = Window.partitionBy(*SOURCE, "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -95,3 +95,17 @@ def test_mixed_texts(spark):
     for (doc, _), n in taken.items():
         want[doc] = want.get(doc, 0) + n
     assert {r.doc_id: r.n for r in words.collect()} == {d: n for d, n in want.items() if n}
+
+
+def test_small_sources_of_short_texts_give_all_their_words(spark, monkeypatch):
+    """About one document of a small source in a shard: what a shard cannot give, the source's others do, over bundles too."""
+    monkeypatch.setattr(mixing, "BUNDLE", 8)
+    rows = [(i, "v w x y z", "small") for i in range(120)] + [(1000 + i, "w " * 60, "b") for i in range(600)]
+    rows += [(5000 + i, "v w x", "c") for i in range(150)]
+    _, _, _, words = brute(rows)
+    source = {r[0]: r[2] for r in rows}
+    sums = dict.fromkeys(words, 0)
+    for r in mixing.mix(make(spark, rows), shard_rows=5).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        sums[source[r.doc_id]] += r.taken
+    assert sums == words
