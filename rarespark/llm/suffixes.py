@@ -93,6 +93,7 @@ def _first(b: dict, width: int) -> dict[str, np.ndarray]:
     whole = _hashes(b["data"], b["first"], stop, (b["anchor"] - b["first"]) * 65536 + b["count"])
     same = np.zeros(len(whole), dtype=bool)
     same[1:] = (whole[1:] == whole[:-1]) & (b["hash"][1:] == b["hash"][:-1]) & (b["doc"][1:] == b["doc"][:-1])
+    same[1:] &= b["first"][1:] == b["first"][:-1] + b["count"][:-1]  # blocks between them may have been filtered out
     head = np.flatnonzero(~same)
     last = np.concatenate([head[1:], [len(same)]]) - 1 if len(head) else head
     return {"level": np.ones(len(head), np.int32), "key": b["hash"][head], "whole": whole[head], "doc": b["doc"][head], "start": b["first"][head],

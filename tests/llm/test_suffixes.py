@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,12 @@ def test_bytes_and_spans(spark):
 
 def test_empty(spark):
     assert suffixes.remove(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_equal_blocks_that_do_not_adjoin_stay_apart():
+    """Equal neighbours are one row; not so if blocks between them have been dropped."""
+    data = np.frombuffer(b"abcd" * 3 + b"-unlike-" + b"abcdabc", dtype=np.uint8)
+    first = np.array([0, 4, 20])
+    rows = suffixes._first({"doc": np.zeros(3, int), "anchor": first + 2, "first": first, "count": np.full(3, 4), "hash": np.full(3, 7, np.uint64),
+                            "data": data}, 4)
+    assert list(zip(rows["start"], rows["stop"], rows["n"])) == [(0, 11, 2), (20, 27, 1)]
