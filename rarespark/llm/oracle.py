@@ -91,3 +91,77 @@ c AS (SELECT z.*, t.place, t.source_size, t.target,
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(CASE WHEN shard_size = 0 THEN 0 ELSE (words // shard_size) * size + greatest(0, least(size, words % shard_size - start)) END AS BIGINT) AS taken
 FROM c JOIN k USING (place, shard)"""
+
+
+def crc32(text: str) -> str:
+    """The checksum of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: list_transform(range(8), lambda i: (ord(ch) >> i) & 1)))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({bits}, lambda b: b::BIGINT)), lambda crc, bit: "
+            f"CASE WHEN xor(crc, bit) & 1 = 1 THEN xor(crc >> 1, 3988292384::BIGINT) ELSE crc >> 1 END), 4294967295::BIGINT)")
+
+
+def runs() -> str:
+    """All pairs of equal words at a lag of at most a quarter of the text, and islands of neighbouring pairs."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), {word}) AS given, {crc32("CAST(doc_id AS VARCHAR)")} AS h
+           FROM documents),
+     e AS (SELECT *, len(given) AS n, h // 10 AS g FROM d),
+     f AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM e),
+     k AS (SELECT *, CASE WHEN n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM f),
+     x AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: given[CAST(1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT)])
+           ELSE given END AS words FROM k),
+     w AS (SELECT rid, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM x),
+     l AS (SELECT a.rid, a.pos, b.pos - a.pos AS q FROM w a JOIN w b ON a.rid = b.rid AND a.word = b.word AND b.pos > a.pos AND b.pos - a.pos <= a.n // 4),
+     i AS (SELECT *, pos - row_number() OVER (PARTITION BY rid, q ORDER BY pos) AS island FROM l),
+     c AS (SELECT rid, q, min(pos) AS s, count(*) + q AS size FROM i GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+     r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.rid = c.rid AND b.q < c.q AND b.s <= c.s AND b.s + b.size >= c.s + c.size)),
+     t AS (SELECT rid, count(*) AS n_runs, min((-size, s, q)) AS top, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY rid),
+     y AS (SELECT rid, string_agg(word, ' ' ORDER BY pos) AS stays FROM w WHERE NOT EXISTS (
+             SELECT 1 FROM r WHERE r.rid = w.rid AND w.pos >= r.s + r.q AND w.pos < r.s + r.size) GROUP BY rid)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top[2] AS BIGINT) AS start, CAST(-top[1] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period,
+       CAST(1000 * -top[1] // top[3] AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(stays, '')) AS collapsed_sha256
+FROM x LEFT JOIN t USING (rid) LEFT JOIN y USING (rid)"""
+
+
+def conversations() -> str:
+    """Row by row, the best edits so far for each last letter."""
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    solid = r"'[^\x20\x09-\x0D]'"
+    follows = "CASE s.q WHEN 2 THEN 3 ELSE 2 END"
+    role = "CASE s.q WHEN 2 THEN 'assistant' ELSE 'user' END"
+    line = "s.t || CASE WHEN s.q > 0 THEN chr(10) ELSE '' END || "
+    insert = f"lambda s: {{'q': {follows}, 'c': s.c + 5, 'a': s.a || 'I', 't': {line}{role} || ':'}}"
+    late = "CASE WHEN upper(x.code) = x.code THEN 5 ELSE 0 END"
+    keep = ("CASE WHEN lower(x.code) = 's' AND s.q = 0 THEN 1 WHEN lower(x.code) = 'u' AND s.q <> 2 THEN 2 "
+            "WHEN lower(x.code) = 'a' AND s.q = 2 THEN 3 ELSE -1 END")
+    edit = f"""lambda s: [{{'q': s.q, 'c': s.c + 2, 'a': s.a || 'D', 't': s.t}},
+        {{'q': CASE WHEN x.code = '-' THEN -1 ELSE {keep} END, 'c': s.c + {late}, 'a': s.a || 'K', 't': {line}x.role || ':' || x.text}},
+        {{'q': CASE WHEN x.code = '-' THEN -1 ELSE {follows} END, 'c': s.c + 1 + {late}, 'a': s.a || 'R', 't': {line}{role} || ':' || x.text}}]"""
+    opened = f"list_concat(acc.st, list_concat(list_transform(acc.st, {insert}), list_transform(list_transform(acc.st, {insert}), {insert})))"
+    best = "list_filter(list_transform([0, 1, 2, 3], lambda q: list_sort(list_filter(acc2, lambda z: z.q = q))[1]), lambda z: z IS NOT NULL)"
+    step = best.replace("acc2", f"flatten(list_transform({opened}, {edit}))")
+    kind = "STRUCT(q INTEGER, c INTEGER, a VARCHAR, t VARCHAR)[]"
+    item = f"STRUCT(st {kind}, code VARCHAR, \"role\" VARCHAR, \"text\" VARCHAR)"
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32(key)} % 20 AS h FROM conversations),
+     d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM r WHERE h <> 0),
+     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+     f AS (SELECT *, CASE WHEN NOT regexp_matches(text, {solid}) THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+             WHEN regexp_extract(text, '(' || {solid} || ')[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM o),
+     v AS (SELECT *, CASE WHEN fault IN ('b', 'd') THEN '-' WHEN fault = 't' THEN upper(l) ELSE l END AS code
+           FROM (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS l FROM f)),
+     g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list(CAST({{'st': NULL, 'code': code, 'role': role, 'text': text}} AS {item}) ORDER BY pos) AS items FROM v GROUP BY conv_id),
+     s AS (SELECT *, list_reduce(list_prepend(CAST({{'st': [{{'q': 0, 'c': 0, 'a': '', 't': ''}}], 'code': '', 'role': '', 'text': ''}} AS {item}), items),
+             lambda acc, x: CAST({{'st': {step}, 'code': x.code, 'role': x.role, 'text': x.text}} AS {item})).st AS st FROM g),
+     z AS (SELECT *, list_sort(list_transform(list_filter(list_concat(st, list_concat(list_transform(st, {insert}), list_transform(list_transform(st, {insert}), {insert}))),
+             lambda s: s.q IN (0, 3)), lambda s: {{'c': s.c, 'a': s.a, 't': s.t}}))[1] AS won FROM s)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(won.c, 0) AS BIGINT) AS cost,
+       coalesce(won.a, '') AS audit, sha256(coalesce(won.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""

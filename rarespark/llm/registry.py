@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import bpe, crf, fertility, minhash, mixing, oracle, quality, quantise, suffixes, units, warc
+from . import bpe, conversation, crf, fertility, minhash, mixing, oracle, quality, quantise, runs, suffixes, toxicity, units, warc
+from .common import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +101,46 @@ def op9_positive_unlabelled(spark, sf_dir):
 @register("op10_sainte_lague", oracle.mixing(mixing.BLOCK_WORDS, mixing.SHARD_ROWS, mixing.BUNDLE, mixing.SEED))
 def op10_sainte_lague(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def repeated_words(documents: DataFrame) -> DataFrame:
+    """``doc_id, text`` with a periodic stretch put into the texts whose ``doc_id`` has a checksum that ten divides."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    rows = rows.withColumns({"n": F.size("words").cast("bigint"), "g": F.expr("h div 10")}).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    period = F.expr("flatten(array_repeat(slice(words, int(a + 1), int(p)), int((n - a) div p + 1)))")
+    changed = F.array_join(F.slice(F.concat(F.expr("slice(words, 1, int(a))"), period), 1, F.col("n").cast("int")), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_minimizer_runs", oracle.runs())
+def op11_minimizer_runs(spark, sf_dir):
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = runs.find(repeated_words(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("top"), "runs", "collapsed").select(
+        "doc_id", "n_runs", (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.short")).alias("period"),
+        F.expr("1000 * top.length div -top.short").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op12_toxic_lexicon")
+def op12_toxic_lexicon(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def damaged(conversations: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Rows damaged by the checksum of ``conv_id:turn``, whether a row stays, and how often it then stands."""
+    blank = F.lit(" ")
+    key = F.concat(*[F.coalesce(c, blank) for c in (F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))])
+    h, text = F.crc32(key) % 20, F.coalesce("text", blank)
+    rows = conversations.select(
+        "conv_id", "turn", F.when(h == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(h == 1, "").when(h == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), h.alias("h"))
+    return rows, F.col("h") != 0, F.when(F.col("h") == 3, 2).otherwise(1)
+
+
+@register("op13_branch_and_bound", oracle.conversations())
+def op13_branch_and_bound(spark, sf_dir):
+    return conversation.summarise(*damaged(table(spark, sf_dir, "conversations")))
