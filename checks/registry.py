@@ -17,7 +17,7 @@ from rarespark.session import scratch_path
 from rarespark.sources import readers, writers
 from rarespark.sources.catalog import Catalog, table_fingerprint
 
-from .oracle import RareSql
+from .oracle import RareSql, dbl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,6 +69,9 @@ JOIN_FEATURES = [(c, "C") for c in ("l_returnflag", "l_linestatus", "o_orderstat
                                     "c_mktsegment", "l_linenumber")]
 LINE_IDS, JOIN_IDS = ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"]
 
+SPELLED_FEATURES = [(c, "C") for c in ("spelled", "l_returnflag", "l_linestatus")]
+SPELLED = RareSql("SELECT l_orderkey, l_linenumber, l_linenumber || '.' || repeat('0', CAST(l_orderkey % 40 AS INTEGER)) AS spelled, l_returnflag, l_linestatus "
+                  "FROM lineitem", LINE_IDS, SPELLED_FEATURES, 0.8, marginal=True)
 EVENTS = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES)
 EVENTS_HALF = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES, 0.5)
 EVENTS_MARGINAL = RareSql(EVENTS_SQL, ["event_id"], EVENT_FEATURES, 0.5, marginal=True)
@@ -114,10 +117,17 @@ def joined(spark, sf_dir):
             .select(*JOIN_IDS, *[f for f, _ in JOIN_FEATURES]))
 
 
+def spelled(spark, sf_dir):
+    """Few numbers as text in very many spellings, which are categories one by one."""
+    zeros = F.repeat(F.lit("0"), (F.col("l_orderkey") % 40).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(*LINE_IDS, F.concat(F.col("l_linenumber").cast("string"), F.lit("."), zeros).alias("spelled"),
+                                                   "l_returnflag", "l_linestatus")
+
+
 INPUTS = {"events": (events, ["event_id"], EVENT_FEATURES), "nulls": (events_with_nulls, ["event_id"], EVENT_FEATURES),
           "endless": (events_endless, ["event_id"], EVENT_FEATURES),
           "lines": (lines, LINE_IDS, LINE_FEATURES), "docs": (docs, ["doc_id"], DOC_FEATURES),
-          "joined": (joined, JOIN_IDS, JOIN_FEATURES)}
+          "joined": (joined, JOIN_IDS, JOIN_FEATURES), "spelled": (spelled, LINE_IDS, SPELLED_FEATURES)}
 
 
 def detect(spark, sf_dir, source: str, like=None, **params):
@@ -595,6 +605,9 @@ register("row_scores_endless", _scores_sql(ENDLESS))(partial(_scores, source="en
 # A budget that is never used up changes nothing, though every dimension is then a job of its own.
 register("row_scores_budget", _scores_sql(EVENTS_HALF))(partial(_scores, source="events", threshold=0.5, max_execution_seconds=1e6))
 register("row_scores_6d", _scores_sql(JOINED))(partial(_scores, source="joined", threshold=0.7, max_dimensions=6))
+# Labels that are too many for the driver: a stored dictionary takes their place.
+register("row_scores_spelled", _scores_sql(SPELLED))(partial(_scores, source="spelled", threshold=0.8, check_marginal_probs=True))
+register("rare_2d_spelled", SPELLED.cells(2))(partial(_rare, source="spelled", dim=2, threshold=0.8, check_marginal_probs=True))
 # The same scores when columns have to be counted in several groups.
 register("row_scores_grouped", _scores_sql(LINES))(partial(_scores, source="lines", threshold=0.5, max_group_patterns=2000))
 
@@ -729,6 +742,110 @@ def threshold_sweep(spark, sf_dir):
     return results.threshold_sweep(run).select("threshold", r6("flagged_pct", "flagged_pct"))
 
 
+_FINE = [k / 400 for k in range(1, 201)]
+
+
+def _fine_sweep_sql() -> str:
+    o = _SWEPT[0.05]
+    return (f"{o.counted_ctes()}, ts AS (SELECT CAST(k AS DOUBLE) / 400e0 AS threshold FROM range(1, 201) AS r(k)), "
+            f"low AS (SELECT DISTINCT threshold, pid FROM counted, ts WHERE {o.rare(0.05).replace(dbl(0.05), 'threshold')}) "
+            "SELECT threshold, round(coalesce(sum(cnt), 0) * 100e0 / (SELECT n FROM sizes), 6) AS flagged_pct "
+            "FROM ts LEFT JOIN low USING (threshold) LEFT JOIN pats USING (pid) GROUP BY threshold")
+
+
+@register("threshold_sweep_200", _fine_sweep_sql())
+def threshold_sweep_200(spark, sf_dir):
+    run = detect(spark, sf_dir, "lines", max_dimensions=2)
+    return results.threshold_sweep(run, _FINE).select("threshold", r6("flagged_pct", "flagged_pct"))
+
+
+def _report_sql(o: RareSql) -> str:
+    part = lambda section, key, number, text, source: (
+        f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, round(CAST({number} AS DOUBLE), 6) AS number, {text} AS text FROM {source}")
+    cards = {"rows": "count(*)", "columns": f"max({o.n})", "flagged": f"count(*) FILTER (WHERE {o.total()} > 0)",
+             "flagged_pct": f"count(*) FILTER (WHERE {o.total()} > 0) * 100e0 / count(*)", "top_score": f"max({o.total()})"}
+    parts = [part("parameters", "'threshold'", "NULL", "'0.5'", "(SELECT 1)")]
+    parts += [part("cards", f"'{k}'", v, "NULL", "flags") for k, v in cards.items()]
+    parts += [part("score_distribution", "score", "n", "NULL", f"(SELECT {o.total()} AS score, count(*) AS n FROM flags GROUP BY 1)"),
+              part("top_rows", "doc_id", "total", "lang || ' ' || source", "top"),
+              part("reasons", "doc_id || ' ' || dim || ' ' || (i - 1)", "total", "dim || 'd: ' || lines[i]",
+                   "(SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM per_dim)"),
+              part("summary", "'Percent Flagged'", f"count(*) FILTER (WHERE {o.total()} > 0) * 100e0 / count(*)", "NULL", "flags")]
+    return _reason_rows_sql(o, f"WHERE {o.total()} > 0 ORDER BY {o.total()} DESC, doc_id LIMIT 50") + " " + " UNION ALL ".join(parts)
+
+
+@register("report_tables", _report_sql(DOCS))
+def report_tables(spark, sf_dir):
+    """All tables of a run's report, one below the other."""
+    tables = results.audit_tables(detect(spark, sf_dir, "docs", threshold=0.5), {"threshold": 0.5})
+    none = F.lit(None)
+    row = lambda df, section, key, number, text=none: df.select(
+        F.lit(section).alias("section"), key.cast("string").alias("key"), r6(number.cast("double"), "number"), text.cast("string").alias("text"))
+    cards = tables["cards"].unpivot([], [F.col(c).cast("double").alias(c) for c in tables["cards"].columns], "key", "number")
+    parts = [row(tables["parameters"], "parameters", F.col("Parameter"), none, F.col("Value")), row(cards, "cards", F.col("key"), F.col("number")),
+             row(tables["score_distribution"], "score_distribution", F.col("score"), F.col("rows")),
+             row(tables["top_rows"], "top_rows", F.col("doc_id"), col("TOTAL SCORE"), F.concat_ws(" ", "lang", "source")),
+             row(tables["reasons"], "reasons", F.concat_ws(" ", "doc_id", "dim", "at"), col("TOTAL SCORE"), F.col("reason")),
+             row(tables["summary"], "summary", F.lit("Percent Flagged"), col("Percent Flagged"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@register("scored_without_ids", f'{EVENTS_HALF.ctes()} SELECT event_id, {EVENTS_HALF.total()} AS "TOTAL SCORE", count(*) OVER () AS ids FROM flags')
+def scored_without_ids(spark, sf_dir):
+    """A run on a table without a key: every row gets an id of its own from its place in the file."""
+    run = RarityDetector(threshold=0.5).fit_predict(table(spark, sf_dir, "events"), features=[f for f, _ in EVENT_FEATURES])
+    ids = run.scores().agg(F.count_distinct("row_id").alias("ids"))
+    return run.scored_rows().select("event_id", col("TOTAL SCORE")).join(F.broadcast(ids))
+
+
+@register("odd_column_names", DOCS.cells(2))
+def odd_column_names(spark, sf_dir):
+    """Names with dots, blanks and quotes go through the detector unharmed."""
+    odd = {"lang": "a.b", "source": "c `d` e", "n_chars": "it's; --"}
+    rows = docs(spark, sf_dir).withColumnsRenamed(odd)
+    cells = RarityDetector(threshold=0.5).fit_predict(rows, features=list(odd.values()), id_cols=["doc_id"]).rare_cells(2)
+    plain = F.create_map(*[F.lit(x) for pair in odd.items() for x in reversed(pair)])
+    return _cells(cells.withColumn("cols", F.transform("cols", lambda c: plain[c])))
+
+
+@register("result_dump", f'{EVENTS_HALF.ctes()} SELECT event_id, {EVENTS_HALF.total()} AS "TOTAL SCORE", nullif({EVENTS_HALF.reasons(2)}, \'\') AS reasons_2d FROM flags')
+def result_dump(spark, sf_dir):
+    """The breakdown that a run writes to its results folder, read back."""
+    folder = scratch_path(spark, "dump")
+    run = detect(spark, sf_dir, "events", threshold=0.5, results_folder=folder, results_name="events")
+    path = run.dump_path
+    return readers.load(spark, path).select("event_id", col("TOTAL SCORE"), col("2d Explanations").alias("reasons_2d"))
+
+
+@register("scan_csv_line_breaks", "SELECT doc_id, md5(text) AS text, length(text) AS n_chars FROM documents")
+def scan_csv_line_breaks(spark, sf_dir):
+    """Texts with line breaks and quotes from one CSV file, which many tasks read."""
+    path = scratch_path(spark, "texts.csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows.coalesce(1).write.csv(path, header=True, escape='"')
+    return readers.load(spark, path).select("doc_id", F.md5("text").alias("text"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("load_dispatch", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier"
+    for kind in (".csv", ".txt", ".TXT", ".parquet")))
+def load_dispatch(spark, sf_dir):
+    """The extension picks the reader, in any case of letters."""
+    rows, out = table(spark, sf_dir, "supplier"), None
+    for kind, sep in ((".csv", ","), (".txt", ";"), (".TXT", "\t"), (".parquet", None)):
+        path = scratch_path(spark, f"supplier{kind}")
+        if sep:
+            rows.write.csv(path, header=True, sep=sep)
+        else:
+            rows.write.parquet(path)
+        part = readers.load(spark, path).select(F.lit(kind).alias("kind"), big("s_suppkey", "s_suppkey"), "s_name", big("s_nationkey", "s_nationkey"), "s_acctbal")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("pair_crosstab",
           "SELECT l.lang, s.source, count(d.doc_id) AS rows FROM (SELECT DISTINCT lang FROM documents) l "
           "CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN documents d ON d.lang = l.lang AND d.source = s.source "
@@ -797,7 +914,8 @@ def _catalog(spark) -> Catalog:
 def _save(catalog: Catalog, spark, sf_dir, dataset_id: int, label: str, run=None, **params) -> int:
     run = run or detect(spark, sf_dir, "events", **params)
     summary = [r.asDict() for r in run.flagged_summary().collect()]
-    return catalog.save_run(dataset_id, label, {"features": [f for f, _ in EVENT_FEATURES], **params}, summary, run.breakdown_all())
+    values = {"features": [f for f, _ in EVENT_FEATURES], "rows": run.rows, "cells": run.rare_cells().count(), **params}
+    return catalog.save_run(dataset_id, label, values, summary, run.breakdown_all())
 
 
 def _two_runs(spark, sf_dir):
@@ -834,9 +952,15 @@ def compare_diff_rows(spark, sf_dir):
     return compare.compare_diff_rows(a, b, catalog.load_dataset(data), ["event_id"])
 
 
+def _rare_cells_sql(o: RareSql) -> str:
+    return f"(SELECT CAST(count(*) AS VARCHAR) FROM ({' UNION ALL '.join(f'SELECT cols, vals FROM ({o.cells(d)})' for d in o.dims)}))"
+
+
 @register("compare_params",
-          "SELECT * FROM (VALUES ('features', '[''event_type'', ''value'', ''user_id'']', '[''event_type'', ''value'', ''user_id'']'), "
-          "('max_dimensions', '—', '2'), ('threshold', '0.5', '0.05')) AS v(parameter, run_a, run_b)")
+          "SELECT 'features' AS parameter, '[''event_type'', ''value'', ''user_id'']' AS run_a, '[''event_type'', ''value'', ''user_id'']' AS run_b "
+          "UNION ALL SELECT 'max_dimensions', '—', '2' UNION ALL SELECT 'threshold', '0.5', '0.05' "
+          "UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR), CAST(count(*) AS VARCHAR) FROM events "
+          f"UNION ALL SELECT 'cells', {_rare_cells_sql(EVENTS_HALF)}, {_rare_cells_sql(EVENTS_TWO)}")
 def compare_params(spark, sf_dir):
     _, _, a, b = _two_runs(spark, sf_dir)
     return compare.compare_params(spark, a["params"], b["params"])

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import MAX_DIMENSIONS, MAX_RARE_FRACTION, MIN_EXPECTED_ROWS, RarityConfig
 
@@ -22,21 +22,33 @@ CODE = "__code"
 ITEM_BASE = 1 << 32  # an item is column position * base + code
 WORD_BITS = 64
 FAN_OUT_PER_TASK = 100_000
+BROADCAST_BYTES = 64 << 20  # measured size of all dictionaries together that may be broadcast
 DIGITS = range(MAX_DIMENSIONS)
+BATCHES = 8  # jobs that share a dimension's column sets when there is a time budget
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Labels too many for the driver: a stored table ``label, code, cnt``, its rows and its bytes."""
+
+    table: DataFrame
+    size: int
+    bytes: int
 
 
 @dataclass(frozen=True)
 class CodedColumn:
-    """An analysed column after encoding: codes 0..size-1, their labels and row counts."""
+    """An analysed column after encoding: codes 0..size-1, their labels and row counts, or a dictionary of these."""
 
     name: str
     kind: str
     labels: tuple[str, ...]
     counts: tuple[int, ...]
+    dictionary: Dictionary | None = None
 
     @property
     def size(self) -> int:
-        return len(self.counts)
+        return self.dictionary.size if self.dictionary else len(self.counts)
 
 
 @dataclass(frozen=True)
@@ -95,6 +107,26 @@ class CellPlan:
         self.checked = {d: on and d <= dim for d, on in self.checked.items()}
         self.sets = [s for s in self.sets if s.dim <= dim]
 
+    def keep_first(self, count: int) -> None:
+        """Keep the first ``count`` column sets only; a dimension counts as examined if any set of it was."""
+        self.sets = self.sets[:count]
+        dims = {s.dim for s in self.sets}
+        self.checked = {d: on and (d == 1 or d in dims or d <= max(dims, default=1)) for d, on in self.checked.items()}
+
+    def batches(self, per_dimension: int = BATCHES) -> list[range]:
+        """Positions of the column sets in runs of about equally many cells: the single columns, then a few runs per dimension."""
+        out: list[range] = []
+        for d in range(1, self.examined + 1):
+            at = [pos for pos, s in enumerate(self.sets) if s.dim == d]
+            share, begin, held = sum(self.sets[pos].product for pos in at) / (per_dimension if d > 1 else 1), None, 0
+            for pos in at:
+                begin = pos if begin is None else begin
+                held += self.sets[pos].product
+                if held >= share or pos == at[-1]:
+                    out.append(range(begin, pos + 1))
+                    begin, held = None, 0
+        return out
+
     @property
     def examined(self) -> int:
         return max(d for d, on in self.checked.items() if on)
@@ -141,7 +173,7 @@ def count_groups(coded: DataFrame, groups: Sequence[ColumnSet], weight: str | No
     return picked.groupBy("grp", "key").agg(cnt.alias("cnt"))
 
 
-def fan_out(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, dim: int | None = None) -> DataFrame:
+def fan_out(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, only: range | None = None) -> DataFrame:
     """Patterns ``(grp, key, cnt)`` with their cells ``(pos, cell)``: one row per column set a group owns.
 
     The sets come as a broadcast table joined on the group. A cell's key moves the digits of the
@@ -151,7 +183,7 @@ def fan_out(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, di
     members = [set(g.members) for g in groups]
     owners = [next(i for i, m in enumerate(members) if m.issuperset(s.members)) for s in plan.sets]
     for pos, (s, owner) in enumerate(zip(plan.sets, owners)):
-        if dim in (None, s.dim):
+        if only is None or pos in only:
             at = dict(zip(groups[owner].members, groups[owner].places))
             digits = [(at[m], plan.sizes[m], place) for m, place in zip(s.members, s.places)]
             digits += [(1, 1, 0)] * (len(DIGITS) - s.dim)
@@ -167,10 +199,10 @@ def fan_out(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, di
 
 
 def count_cells(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan,
-                dim: int | None = None) -> DataFrame:
+                only: range | None = None) -> DataFrame:
     """``(pos, key, cnt)``: rows per cell of every examined column set (``pos`` is its position),
-    or of those with ``dim`` columns only."""
-    return (fan_out(patterns, groups, plan, dim).groupBy("pos", F.col("cell").alias("key"))
+    or of those at the positions of ``only``."""
+    return (fan_out(patterns, groups, plan, only).groupBy("pos", F.col("cell").alias("key"))
             .agg(F.sum("cnt").alias("cnt")))
 
 
@@ -181,10 +213,42 @@ def pattern_hits(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPla
             .groupBy("grp", "key").agg(F.array_sort(F.collect_set("pos")).alias("hits")))
 
 
-def all_cells(spark: SparkSession, plan: CellPlan, observed: DataFrame) -> DataFrame:
-    """Observed cells plus the ones no row falls into (count 0), for every examined set."""
-    every = set_table(spark, plan).select("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("product") - 1)).alias("key"))
-    return every.join(observed, ["pos", "key"], "left").select("pos", "key", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+def clean_cells(cells: DataFrame, low: DataFrame, plan: CellPlan) -> DataFrame:
+    """``pos, key`` of the observed cells that are not low and hold no smaller low cell."""
+    placed = with_items(cells.join(set_table(cells.sparkSession, plan), "pos"), plan).select("pos", "key", "items")
+    covered = placed.select("items", F.explode(_subsets(proper=False)).alias("sub")).join(
+        low.select(F.col("items").alias("sub")), "sub", "left_semi").select("items").distinct()
+    return placed.join(covered, "items", "left_anti").select("pos", "key")
+
+
+def count_supported(clean: DataFrame, plan: CellPlan) -> DataFrame:
+    """``pos, n``: how many cells of each set of two columns and more, seen or not, have clean cells only inside them.
+
+    Such a cell is a clean cell of all columns but the last, plus a code of the last column that every smaller part may be continued with.
+    The codes that continue a part are bits, so the parts' words are put together by AND and their bits counted; no cell is listed.
+    """
+    spark, at = clean.sparkSession, {s.members: pos for pos, s in enumerate(plan.sets)}
+    steps, ends = [], []
+    for pos, s in enumerate(plan.sets):
+        ends.append((pos, plan.sizes[s.members[-1]]))
+        if s.dim > 1:
+            first, size = s.members[:-1], plan.sizes[s.members[-1]]
+            begin = dict(zip(first, plan.sets[at[first]].places))
+            for gone in first:  # every part of the beginning with one column less
+                part = plan.sets[at[tuple(m for m in s.members if m != gone)]]
+                digits = [(begin[m], plan.sizes[m], place // size) for m, place in zip(part.members[:-1], part.places)]
+                digits += [(1, 1, 0)] * (len(DIGITS) - len(digits))
+                steps.append((at[first], pos, s.dim - 1, at[part.members], *[x for digit in digits for x in digit]))
+    names = ", ".join(f"from{i} bigint, size{i} bigint, to{i} bigint" for i in DIGITS)
+    steps = spark.createDataFrame(steps, f"pos int, of int, parts int, part int, {names}")
+    spot = " + ".join(f"((key div from{i}) % size{i}) * to{i}" for i in DIGITS)
+    asked = clean.join(F.broadcast(steps), "pos").select("of", "key", "parts", "part", F.expr(spot).alias("begin"))
+    ends = F.broadcast(spark.createDataFrame(ends, "pos int, last bigint"))
+    words = (clean.join(ends, "pos").select(F.col("pos").alias("part"), F.expr("key div last").alias("begin"), F.expr("key % last").alias("code"))
+             .groupBy("part", "begin", F.expr(f"code div {WORD_BITS}").alias("word"))
+             .agg(F.expr(f"bit_or(shiftleft(1L, int(code % {WORD_BITS})))").alias("bits")))
+    met = asked.join(words, ["part", "begin"]).groupBy("of", "key", "parts", "word").agg(F.count("*").alias("seen"), F.expr("bit_and(bits)").alias("bits"))
+    return met.where("seen = parts").groupBy(F.col("of").alias("pos")).agg(F.sum(F.bit_count("bits")).alias("n"))
 
 
 def with_items(cells: DataFrame, plan: CellPlan) -> DataFrame:
@@ -194,18 +258,72 @@ def with_items(cells: DataFrame, plan: CellPlan) -> DataFrame:
         f"zip_with(members, places, (m, p) -> m * {ITEM_BASE}L + (key div p) % get({sizes}, m))"))
 
 
+def _with_limits(cells: DataFrame, plan: CellPlan) -> tuple[DataFrame, list]:
+    """Cells with ``items`` and ``frac``, and the shares of which a cell must stay below a multiple, the threshold, to be low."""
+    out = cells.join(set_table(cells.sparkSession, plan), "pos").withColumn("frac", F.col("cnt") / F.lit(float(plan.rows)))
+    out = with_items(out.where(F.col("frac") < F.lit(MAX_RARE_FRACTION)), plan)
+    limits = [F.col("uniform")]
+    if plan.cfg.check_marginal_probs:
+        out = look_up(out, plan.columns, "cnt")
+        shares = F.lit([[n / plan.rows for n in column.counts] or [0.0] for column in plan.columns])
+        share = item_value(plan.columns, lambda it: F.get(F.get(shares, item_column(it)), item_code(it)),
+                           lambda m: F.col(f"__cnt{m}") / F.lit(float(plan.rows)))
+        out = out.withColumn("expected", F.when(F.col("dim") > 1, F.aggregate("items", F.lit(1.0), lambda acc, it: acc * share(it))))
+        limits.append(F.coalesce("expected", "uniform"))
+    return out, limits
+
+
+def _below(limits: list, threshold) -> Column:
+    out = F.lit(True)
+    for limit in limits:
+        out &= F.col("frac") < limit * threshold
+    return out
+
+
 def low_cells(cells: DataFrame, plan: CellPlan, threshold: float | None = None) -> DataFrame:
     """Cells below the rarity limits, as ``(pos, dim, key, items, cnt, frac)``."""
+    out, limits = _with_limits(cells, plan)
     threshold = F.lit(float(plan.cfg.threshold if threshold is None else threshold))
-    out = cells.join(set_table(cells.sparkSession, plan), "pos").withColumn("frac", F.col("cnt") / F.lit(float(plan.rows)))
-    out = out.where((F.col("frac") < F.col("uniform") * threshold) & (F.col("frac") < F.lit(MAX_RARE_FRACTION)))
-    out = with_items(out, plan)
-    if plan.cfg.check_marginal_probs:
-        shares = F.lit([[n / plan.rows for n in column.counts] for column in plan.columns])
-        expected = F.aggregate("items", F.lit(1.0), lambda acc, it: acc * F.get(
-            F.get(shares, item_column(it)), item_code(it)))
-        out = out.where((F.col("dim") == 1) | (F.col("frac") < expected * threshold))
-    return out.select("pos", "dim", "key", "items", "cnt", "frac")
+    return out.where(_below(limits, threshold)).select("pos", "dim", "key", "items", "cnt", "frac")
+
+
+def low_levels(cells: DataFrame, plan: CellPlan, thresholds: Sequence[float]) -> DataFrame:
+    """``pos, key, level``: the place of the least threshold (sorted ones are given) at which a cell is low; cells that never are stay out.
+
+    A cell that is low at a threshold is low at all larger ones.
+    """
+    out, limits = _with_limits(cells, plan)
+    level = F.size(F.filter(F.lit([float(t) for t in thresholds]), lambda t: ~_below(limits, t)))
+    return out.select("pos", "key", level.alias("level")).where(F.col("level") < len(thresholds))
+
+
+def pattern_levels(patterns: DataFrame, groups: Sequence[ColumnSet], plan: CellPlan, levels: DataFrame) -> DataFrame:
+    """``(grp, key, level)``: the least level among the cells of every pattern that has any."""
+    return (fan_out(patterns, groups, plan).join(levels.withColumnRenamed("key", "cell"), ["pos", "cell"])
+            .groupBy("grp", "key").agg(F.min("level").alias("level")))
+
+
+def look_up(cells: DataFrame, columns: Sequence[CodedColumn], what: str) -> DataFrame:
+    """Cells (with ``items``) and, per column with a dictionary, ``__{what}{position}`` of the cell's code in it."""
+    left = BROADCAST_BYTES
+    for m, column in enumerate(columns):
+        if column.dictionary is not None:
+            code = F.get(F.transform(F.filter("items", lambda it: item_column(it) == m), item_code), F.lit(0))
+            one = column.dictionary.table.select(F.col("code").alias(f"__at{m}"), F.col(what).alias(f"__{what}{m}"))
+            left -= column.dictionary.bytes
+            cells = cells.withColumn(f"__at{m}", code).join(F.broadcast(one) if left >= 0 else one, f"__at{m}", "left").drop(f"__at{m}")
+    return cells
+
+
+def item_value(columns: Sequence[CodedColumn], literal, looked_up):
+    """Function of an item: ``literal(item)``, or ``looked_up(position)`` for columns with a dictionary."""
+    def value(it):
+        out = literal(it)
+        for m, column in enumerate(columns):
+            if column.dictionary is not None:
+                out = F.when(item_column(it) == m, looked_up(m)).otherwise(out)
+        return out
+    return value
 
 
 def item_column(item):
@@ -216,16 +334,18 @@ def item_code(item):
     return (item % F.lit(ITEM_BASE)).cast("int")
 
 
+def _subsets(proper: bool) -> Column:
+    """The subsets of ``items`` that are not empty, without the whole if ``proper``."""
+    return F.expr(f"transform(sequence(1, shiftleft(1, size(items)) - {2 if proper else 1}), b -> filter(items, (x, i) -> (shiftright(b, i) & 1) = 1))")
+
+
 def minimal_cells(low: DataFrame) -> DataFrame:
     """Low cells that contain no smaller low cell: the flagged ones.
 
     A set is flagged exactly if it is low and none of its proper subsets is low, since a low subset
     is flagged itself or contains a flagged one. So one pass over all sizes replaces a pass per size.
     """
-    subsets = F.expr(
-        "transform(sequence(1, shiftleft(1, size(items)) - 2), "
-        "b -> filter(items, (x, i) -> (shiftright(b, i) & 1) = 1))")
-    contained = low.where("dim > 1").select("items", F.explode(subsets).alias("sub"))
+    contained = low.where("dim > 1").select("items", F.explode(_subsets(proper=True)).alias("sub"))
     smaller = low.select(F.col("items").alias("sub"))
     covered = contained.join(smaller, "sub", "left_semi").select("items").distinct()
     return low.join(covered, "items", "left_anti")

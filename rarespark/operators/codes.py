@@ -20,8 +20,17 @@ def rank_values(values: DataFrame) -> DataFrame:
     the sizes of the ranges before them.
     """
     values = stage(values)
-    size = values.agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).first()
-    if size["n"] <= RANK_IN_ONE_TASK and (size["bytes"] or 0) <= BROADCAST_BYTES:
+    return _ranked(values, _sizes(values))
+
+
+def _sizes(values: DataFrame) -> dict[int, tuple[int, int]]:
+    """Values and bytes per ``at``."""
+    return {r["at"]: (r["n"], r["bytes"]) for r in values.groupBy("at").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
+
+
+def _ranked(values: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    if sum(n for n, _ in sizes.values()) <= RANK_IN_ONE_TASK and sum(b for _, b in sizes.values()) <= BROADCAST_BYTES:
         return values.withColumn("code", F.row_number().over(Window.partitionBy("at").orderBy("value")) - 1)
     ranged = stage(values.repartitionByRange("at", "value").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("at", "part").agg(F.count("*").alias("n"))
@@ -32,19 +41,27 @@ def rank_values(values: DataFrame) -> DataFrame:
             .select("at", "value", (F.col("start") + F.col("within")).alias("code")))
 
 
-def ordinal_codes(df: DataFrame, values: Mapping[str, Column], missing: int = -1) -> DataFrame:
-    """Replace columns by the codes of the given text expressions; NULL gets ``missing``."""
+def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """``(at, value, n)``: rows per text value of each expression, by its position; missing values stay out."""
+    entries = F.array(*[F.struct(F.lit(i).alias("at"), v.alias("value")) for i, v in enumerate(values.values())])
+    return (df.select(F.explode(entries).alias("e")).where("e.value is not null")
+            .groupBy("e.at", "e.value").agg(F.count("*").alias("n")))
+
+
+def ordinal_codes(df: DataFrame, values: Mapping[str, Column], missing: int = -1, distinct: DataFrame | None = None) -> DataFrame:
+    """Replace columns by the codes of the given text expressions; NULL gets ``missing``.
+
+    ``distinct`` is the stored table ``(at, value)`` of their values, if it is known.
+    """
     names = list(values)
     keyed = df.withColumns({f"__t{i}": values[n] for i, n in enumerate(names)})
-    entries = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"__t{i}").alias("value")) for i in range(len(names))])
-    distinct = keyed.select(F.explode(entries).alias("e")).select("e.*").where("value is not null").distinct()
-    codes = stage(rank_values(distinct))
-    sizes = {r["at"]: r["bytes"] for r in
-             codes.groupBy("at").agg(F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
-    left = BROADCAST_BYTES
-    for i in sorted(range(len(names)), key=lambda i: sizes.get(i, 0)):
+    if distinct is None:
+        distinct = stage(value_counts(df, values).select("at", "value"))
+    sizes = _sizes(distinct)
+    codes, left = stage(_ranked(distinct, sizes)), BROADCAST_BYTES
+    for i in sorted(range(len(names)), key=lambda i: sizes.get(i, (0, 0))[1]):
         one = codes.where(F.col("at") == i).select(F.col("value").alias(f"__t{i}"), F.col("code").alias(f"__c{i}"))
-        left -= sizes.get(i, 0)
+        left -= sizes.get(i, (0, 0))[1]
         if left >= 0:
             keyed = keyed.join(F.broadcast(one), f"__t{i}", "left")
         else:  # both sides are plain, so Spark can split a hot value; missing values match nothing and are spread

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..config import RarityConfig
 from ..functions.columns import MISSING_TEXT, col, count_passed, present
 from ..session import stage
-from .cells import CODE, CodedColumn
+from . import cells
+from .cells import CODE, CodedColumn, Dictionary
+from .codes import rank_values
 from .profile import FeatureProfile, profile_features, settle_kinds
 
-LITERAL_LABELS = 64  # longer dictionaries are joined (broadcast) instead of searched in place
+LITERAL_LABELS = 64  # longer lists of labels are joined instead of searched in place
+DRIVER_LABELS = 4096  # labels of a column that may come to the driver; more stay a stored dictionary
 
 
 def bin_edges(low: float, high: float, n_bins: int) -> list[float]:
@@ -58,7 +62,7 @@ class Domains:
         return self._codes(self.patterns)
 
     def _codes(self, df: DataFrame) -> DataFrame:
-        joined, codes = df, {}
+        joined, codes, left = df, {}, cells.BROADCAST_BYTES
         for i, (p, c) in enumerate(zip(self.used, self.columns)):
             value = F.col(f"__v{i}")
             if c.kind == "N":
@@ -71,10 +75,15 @@ class Domains:
                 code = F.when(value.isNull(), len(texts)).otherwise((F.array_position(known, value) - 1).cast("int"))
             else:
                 value = F.coalesce(value, F.lit(MISSING_TEXT))
-                if c.size > LITERAL_LABELS:
-                    names = df.sparkSession.createDataFrame(
-                        [(t, k) for k, t in enumerate(c.labels)], f"__t{i} string, __k{i} int")
-                    joined = joined.join(F.broadcast(names), value == F.col(f"__t{i}"), "left").drop(f"__t{i}")
+                if c.dictionary is not None or c.size > LITERAL_LABELS:
+                    if c.dictionary is not None:
+                        names, size = c.dictionary.table.select(F.col("label").alias(f"__text{i}"), F.col("code").alias(f"__k{i}")), c.dictionary.bytes
+                    else:
+                        names = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(c.labels)], f"__text{i} string, __k{i} int")
+                        size = sum(len(t.encode()) + 16 for t in c.labels)
+                    left -= size
+                    # Beyond the bound both sides are plain, so Spark can split a hot label.
+                    joined = joined.withColumn(f"__text{i}", value).join(F.broadcast(names) if left >= 0 else names, f"__text{i}", "left")
                     code = F.col(f"__k{i}")
                 else:
                     code = _position(list(c.labels), value)
@@ -84,7 +93,8 @@ class Domains:
 
     def labels(self) -> Column:
         """Array of the row's labels, one per analysed column."""
-        return F.array(*[F.get(F.lit(list(c.labels)), F.col(f"{CODE}{i}")) for i, c in enumerate(self.columns)])
+        return F.array(*[F.col(f"__text{i}") if c.dictionary is not None else F.get(F.lit(list(c.labels)), F.col(f"{CODE}{i}"))
+                         for i, c in enumerate(self.columns)])
 
 
 def _kept_as_number(p: FeatureProfile) -> bool:
@@ -122,26 +132,27 @@ def discover(df: DataFrame, features: Sequence[str], cfg: RarityConfig) -> Domai
             found.patterns = stage(values.groupBy(*[f"__v{i}" for i in range(len(used))]).agg(
                 F.count("*").alias("cnt"),
                 *[f(f"__x{i}").alias(f"{tag}{i}") for i in number_gaps for tag, f in (("__lo", F.min), ("__hi", F.max))]))
-        listed = _list_values(found, values, number_gaps)
+        listed, counted = _list_values(found, values, number_gaps)
         kinds_before = dict(kinds)
         for i, p in enumerate(used):
             if kinds[p.name] == "C":
                 texts = listed[i]["texts"]
                 if texts is None:
                     seen = listed[i]["distinct"]
-                    exact[p.name] = (seen, seen if p.numeric and not p.from_text else p.numeric_floor)
+                    exact[p.name] = (seen, seen if p.numeric and not p.from_text else listed[i]["numbers"])
                 else:
                     numbers = len({float(t) for t in texts}) if p.numeric else 0
                     exact[p.name] = (len(texts) if p.from_text or not p.numeric else numbers, numbers)
         found.kinds = settle_kinds(profiles, cfg, exact)
         if all(found.kinds[p.name] == kinds_before[p.name] or found.kinds[p.name] == "-" for p in used):
-            return _settle(found, used, listed, kinds_before)
+            return _settle(found, used, listed, kinds_before, counted)
 
 
-def _list_values(found: Domains, values: DataFrame, number_gaps: list[int]) -> list[dict]:
-    """Values of every used column with their row counts, read to the driver.
+def _list_values(found: Domains, values: DataFrame, number_gaps: list[int]) -> tuple[list[dict], DataFrame]:
+    """Values of every used column with their row counts, read to the driver, and the table they come from.
 
-    What is read is bounded: a column over the value limit reports its distinct count only.
+    What is read is bounded: a column of more values than the limit, or than ``DRIVER_LABELS``, reports how many values and how many numbers it
+    has; its labels stay in the table.
     """
     used, cfg = found.used, found.cfg
     source, weight = (found.patterns, "cnt") if found.patterns is not None else (values, None)
@@ -157,16 +168,18 @@ def _list_values(found: Domains, values: DataFrame, number_gaps: list[int]) -> l
                .groupBy("e.at", "e.value")
                .agg((F.sum(weight) if weight else F.count("*")).alias("cnt"),
                     F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi")))
-    cap = max(cfg.max_values_per_column, 2 * cfg.n_bins) + 1
+    cap = min(max(cfg.max_values_per_column, 2 * cfg.n_bins) + 1, DRIVER_LABELS)
     bound = cap * len(used)
     rows = counted.limit(bound + 1).collect()
-    totals: dict[int, int] = {}
-    if len(rows) > bound:  # some column holds more values than its lower bound suggested
-        totals = {r["at"]: r["n"] for r in counted.groupBy("at").agg(F.count("value").alias("n")).collect()}
-        keep = [i for i in range(len(used)) if totals[i] <= cap or (used[i].numeric and used[i].from_text)]
-        rows = counted.where(F.col("at").isin(keep)).collect()
-        totals = {i: n for i, n in totals.items() if i not in keep}
-    listed = [{"counts": {}, "ends": {}, "missing": 0, "distinct": totals.get(i)} for i in range(len(used))]
+    large: dict[int, tuple[int, int]] = {}
+    if len(rows) > bound or max(Counter(r["at"] for r in rows).values(), default=0) > cap + 1:  # more values than the lower bound suggested
+        counted = stage(counted)
+        number = F.col("value").try_cast("double") + F.lit(0.0)
+        for r in counted.groupBy("at").agg(F.count("value").alias("n"), F.count_distinct(number).alias("numbers")).collect():
+            if r["n"] > cap:
+                large[r["at"]] = (r["n"], r["numbers"] if used[r["at"]].numeric else 0)
+        rows = counted.where(~F.col("at").isin(*large) | F.col("value").isNull()).collect()
+    listed = [{"counts": {}, "ends": {}, "missing": 0, "distinct": large.get(i, (None,))[0], "numbers": large.get(i, (0, 0))[1]} for i in range(len(used))]
     for r in rows:
         slot = listed[r["at"]]
         if r["value"] is None:
@@ -175,16 +188,28 @@ def _list_values(found: Domains, values: DataFrame, number_gaps: list[int]) -> l
             slot["counts"][r["value"]] = r["cnt"]
             slot["ends"][r["value"]] = (r["lo"], r["hi"])
     for i, slot in enumerate(listed):
-        slot["texts"] = None if i in totals else list(slot["counts"])
-    return listed
+        slot["texts"] = None if i in large else list(slot["counts"])
+    return listed, counted
 
 
-def _settle(found: Domains, used: list[FeatureProfile], listed: list[dict], kinds: dict[str, str]) -> Domains:
+def _dictionary(counted: DataFrame, at: int) -> Dictionary:
+    """The labels of one column, numbered in order on the executors."""
+    labels = stage(counted.where(F.col("at") == at).groupBy(F.coalesce("value", F.lit(MISSING_TEXT)).alias("value")).agg(F.sum("cnt").alias("cnt")))
+    codes = rank_values(labels.select(F.lit(0).alias("at"), "value")).select("value", F.col("code").cast("int").alias("code"))
+    table = stage(codes.join(labels, "value").select(F.col("value").alias("label"), "code", "cnt"))
+    size = table.agg(F.count("*").alias("n"), F.sum(F.octet_length("label") + 24).alias("bytes")).first()
+    return Dictionary(table, size["n"], size["bytes"])
+
+
+def _settle(found: Domains, used: list[FeatureProfile], listed: list[dict], kinds: dict[str, str], counted: DataFrame) -> Domains:
     cfg, kept = found.cfg, []
     for i, (p, slot) in enumerate(zip(used, listed)):
         if found.kinds[p.name] == "-":
             continue
         kept.append(i)
+        if slot["texts"] is None and kinds[p.name] == "C":
+            found.columns.append(CodedColumn(p.name, "C", (), (), _dictionary(counted, i)))
+            continue
         counts = dict(slot["counts"])
         if kinds[p.name] == "N":
             counts = {int(b): n for b, n in counts.items()}

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..config import PreprocessConfig
 from ..functions.columns import clip, col, is_numeric, nan_to_null
 from ..session import stage
-from .codes import ordinal_codes
-from .quantiles import exact_quantiles
+from .codes import BROADCAST_BYTES, ordinal_codes, value_counts
+from .quantiles import Carried, exact_quantiles, finite_bounds, is_finite, order_statistics
 
 
 # The action log's lines.
@@ -37,18 +37,38 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c not in set(columns)])
 
 
-def drop_duplicates(df: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
+def row_digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row; every column comes with whether it is missing, which Spark's hashes pass over."""
+    marked = [x for c in columns for x in (col(c), col(c).isNull())]
+    return [F.xxhash64(*marked).alias("__a"), F.xxhash64(F.lit(1), *reversed(marked), F.hash(*marked)).alias("__b")]
+
+
+def drop_duplicates(df: DataFrame, id_cols: Sequence[str] = (), seen: Observation | None = None) -> DataFrame:
     """Distinct rows. Ids do not take part in the comparison; the least id of each group stays.
 
-    Copies are combined in each task first, so a value held by many rows costs one record per task.
+    Rows are first grouped by a 128-bit digest, so only digests travel. Rows whose digest stands alone pass as they
+    are; only the others are compared as a whole, combined in each task first, so that a value held by many
+    rows costs one record per task. The repeated digests are broadcast if their measured size allows, else joined by shuffle.
+    ``seen`` observes the number of rows before.
     """
-    if not id_cols:
-        return df.distinct()
     values = [c for c in df.columns if c not in id_cols]
+    digests = df.select(*row_digest(df, values))
+    if seen is not None:
+        digests = digests.observe(seen, F.count("*").alias("rows"))
+    repeated = stage(digests.groupBy("__a", "__b").agg(F.count("*").alias("n")).where("n > 1").select("__a", "__b"))
+    size = 16 * repeated.count()
+    if not size:
+        return df
+    found = F.broadcast(repeated) if size <= BROADCAST_BYTES else repeated
+    keyed = df.select("*", *row_digest(df, values))
+    alone = keyed.join(found, ["__a", "__b"], "left_anti").select(*map(col, df.columns))
+    copies = keyed.join(found, ["__a", "__b"], "left_semi")
+    if not id_cols:
+        return alone.unionByName(copies.select(*map(col, df.columns)).distinct())
     # The minimum of one number can be kept in place; that of a struct needs sorted rows.
     least = F.struct(F.min(col(id_cols[0])).alias(id_cols[0])) if len(id_cols) == 1 else F.min(F.struct(*map(col, id_cols)))
-    first = df.groupBy(*map(col, values)).agg(least.alias("__id"))
-    return first.select(*[F.col("__id").getField(c).alias(c) if c in id_cols else col(c) for c in df.columns])
+    first = copies.groupBy(*map(col, values)).agg(least.alias("__id"))
+    return alone.unionByName(first.select(*[F.col("__id").getField(c).alias(c) if c in id_cols else col(c) for c in df.columns]))
 
 
 def _column_facts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, tuple[int, bool]]]:
@@ -110,10 +130,10 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]
 
     Counting by value first keeps every group small, however many values a column has.
     """
-    entries = F.array(*[F.struct(F.lit(i).alias("at"), col(c).cast("string").alias("value"))
-                        for i, c in enumerate(columns)])
-    counted = (df.select(F.explode(entries).alias("e")).where("e.value is not null")
-               .groupBy("e.at", "e.value").agg(F.count("*").alias("n")))
+    return _modes(value_counts(df, {c: col(c).cast("string") for c in columns}), columns)
+
+
+def _modes(counted: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     best = counted.groupBy("at").agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
     found = {r["at"]: r["value"] for r in best.collect()}
     return {c: found.get(i) for i, c in enumerate(columns)}
@@ -211,13 +231,19 @@ def apply_preprocessing(df: DataFrame, cfg: PreprocessConfig, id_cols: Sequence[
         df = drop_columns(df, dropped)
         log.append(LOG_DROPPED.format(n=len(dropped), names=dropped))
 
+    before = None
     if cfg.drop_duplicates:
-        before = df.count() if count_rows else None
-        df = stage(drop_duplicates(df, ids))  # later statistics would repeat the shuffle
-        log.append(LOG_DUPLICATES.format(n=before - df.count() if count_rows else "not counted"))
+        before = Observation() if count_rows else None
+        df = stage(drop_duplicates(df, ids, before))  # later statistics would repeat the shuffle
+        log.append(LOG_DUPLICATES.format(n="not counted"))
+        at = len(log) - 1
 
+    facts = None
     if cfg.drop_constant_columns or cfg.drop_high_missing:
         rows, facts = _column_facts(df, [c for c in df.columns if c not in ids])
+    if before is not None:
+        log[at] = LOG_DUPLICATES.format(n=before.get["rows"] - (rows if facts is not None else df.count()))
+    if facts is not None:
         constant = [c for c, (n, same) in facts.items() if n == 0 or (n == rows and same)]
         if cfg.drop_constant_columns and constant:
             df = drop_columns(df, constant)
@@ -240,29 +266,37 @@ def apply_preprocessing(df: DataFrame, cfg: PreprocessConfig, id_cols: Sequence[
 
     if numeric and cfg.numeric_impute == "drop_rows":
         df = drop_rows(df, numeric, "numeric")
-    elif numeric and cfg.numeric_impute in ("mean", "median", "zero"):
-        df = impute_numeric(df, numeric, cfg.numeric_impute)
+    used = cfg.numeric_impute in ("mean", "median", "zero") or cfg.outlier_treatment == "iqr_clip" or cfg.scaling == "robust"
+    stats = _NumberStats(df, numeric, cfg) if numeric and used else None
+    if numeric and cfg.numeric_impute in ("mean", "median", "zero"):
+        df = stats.impute(df)
         log.append(LOG_NUMERIC.format(how=cfg.numeric_impute))
 
+    counted = None
     if categorical and cfg.categorical_impute == "drop_rows":
-        df = drop_rows(df, categorical, "categorical")
+        df, stats = drop_rows(df, categorical, "categorical"), None
     elif categorical and cfg.categorical_impute == "mode":
-        df = impute_categorical(df, categorical, "mode")
+        counted = stage(value_counts(df, {c: col(c).cast("string") for c in categorical}))  # also what is to be encoded
+        modes = _modes(counted, categorical)
+        df = df.withColumns({c: F.coalesce(col(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in modes.items() if v is not None})
         log.append(LOG_CATEGORICAL.format(how="mode"))
     elif categorical and cfg.categorical_impute == "constant":
         df = impute_categorical(df, categorical, "constant", cfg.categorical_fill_value)
         log.append(LOG_CATEGORICAL.format(how=f"constant '{cfg.categorical_fill_value}'"))
 
     if numeric and cfg.outlier_treatment == "iqr_clip":
-        df = clip_iqr(df, numeric, cfg.iqr_factor)
+        df = stats.clip_iqr(df) if stats else clip_iqr(df, numeric, cfg.iqr_factor)
         log.append(LOG_IQR.format(k=cfg.iqr_factor))
     elif numeric and cfg.outlier_treatment == "zscore_clip":
         df = clip_zscore(df, numeric, cfg.zscore_threshold)
+        stats = None
         log.append(LOG_ZSCORE.format(z=cfg.zscore_threshold))
 
     scalers = {"standard": scale_standard, "minmax": scale_minmax, "robust": scale_robust}
     if numeric and cfg.scaling != "none":
-        if cfg.scaling in scalers:
+        if cfg.scaling == "robust" and stats:
+            df = stats.scale_robust(df)
+        elif cfg.scaling in scalers:
             df = scalers[cfg.scaling](df, numeric)
         log.append(LOG_SCALING.format(how=cfg.scaling))
 
@@ -270,6 +304,69 @@ def apply_preprocessing(df: DataFrame, cfg: PreprocessConfig, id_cols: Sequence[
         df = one_hot(df, categorical)
         log.append(LOG_ONE_HOT.format(n=len(categorical)))
     elif categorical and cfg.categorical_encoding == "ordinal":
-        df = ordinal(df, categorical)
+        texts = {c: col(c).cast("string") for c in categorical}
+        df = ordinal_codes(df, texts, missing=-1, distinct=counted.select("at", "value") if counted is not None else None)
         log.append(LOG_ORDINAL.format(n=len(categorical)))
     return df, log
+
+
+class _NumberStats:
+    """What the chain's number steps need to know, from one look at the values' ends and one narrowing.
+
+    Filling, clipping and scaling keep the order of a column, so the quantiles after each step follow from order
+    statistics of the column as it was. Columns with infinities, where sums of quantiles may have no value, are looked at again for each step.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], cfg: PreprocessConfig):
+        self.cfg, self.columns = cfg, list(columns)
+        keys = {c: f"__q{i}" for i, c in enumerate(columns)}
+        means = [F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)] if cfg.numeric_impute == "mean" else []
+        values, bounds, row = finite_bounds(df, {keys[c]: col(c) for c in columns}, F.count("*").alias("rows"), *means)
+        fills = cfg.numeric_impute in ("mean", "median", "zero")
+        self.gaps = {c: row["rows"] - row["n" + k] for c, k in keys.items() if fills and row["n" + k] < row["rows"]}
+        self.plain = is_finite(bounds)
+        self.held = {c for c, k in keys.items() if k in bounds}
+        before = [0.5] if cfg.numeric_impute == "median" else []
+        clip_at = [0.25, 0.75] if cfg.outlier_treatment == "iqr_clip" else []
+        scale_at = [0.25, 0.5, 0.75] if cfg.scaling == "robust" and cfg.outlier_treatment != "zscore_clip" else []
+        later = sorted({*clip_at, *scale_at}) if self.plain else []
+        ranks = {k: Carried.needed(bounds[k][2], self.gaps.get(c, 0), before if c in self.gaps else [], later)
+                 for c, k in keys.items() if k in bounds}
+        found = order_statistics(values, ranks, bounds) if any(ranks.values()) else {}
+        self.carried = {c: Carried({r: v for (key, r), v in found.items() if key == k}, bounds[k][2]) for c, k in keys.items() if k in bounds}
+        self.means = {c: row.get(f"m{i}") for i, c in enumerate(columns)}
+
+    def impute(self, df: DataFrame) -> DataFrame:
+        out = {}
+        for c, extra in self.gaps.items():
+            if self.cfg.numeric_impute == "zero":
+                value, out[c] = 0.0, F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType))
+            elif c in self.held:
+                value = self.means[c] if self.cfg.numeric_impute == "mean" else self.carried[c].quantile(0.5)
+                out[c] = F.coalesce(col(c).cast("double"), F.lit(value))
+            if c in self.held:
+                self.carried[c] = self.carried[c].filled(value, extra)
+            elif c in out:  # nothing but filled values
+                self.carried[c] = Carried({}, 0, extra, value)
+        return df.withColumns(out)
+
+    def clip_iqr(self, df: DataFrame) -> DataFrame:
+        if not self.plain:
+            return clip_iqr(df, self.columns, self.cfg.iqr_factor)
+        out = {}
+        for c, x in self.carried.items():
+            low, high = x.quantile(0.25), x.quantile(0.75)
+            reach = self.cfg.iqr_factor * (high - low)
+            out[c] = clip(col(c), low - reach, high + reach)
+            self.carried[c] = x.clipped(low - reach, high + reach)
+        return df.withColumns(out)
+
+    def scale_robust(self, df: DataFrame) -> DataFrame:
+        if not self.plain:
+            return scale_robust(df, self.columns)
+        out = {}
+        for c, x in self.carried.items():
+            low, middle, high = (x.quantile(p) for p in (0.25, 0.5, 0.75))
+            if high - low:
+                out[c] = (col(c) - F.lit(middle)) / F.lit(high - low)
+        return df.withColumns(out)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -126,14 +126,63 @@ def _between(low: float, high: float, share: float) -> float:
     return low + (high - low) * share
 
 
+def is_finite(bounds: Mapping[str, tuple]) -> bool:
+    """Whether no column holds an infinity; ``bounds`` are those of ``finite_bounds``."""
+    return all(abs(x) < sys.float_info.max for low, high, _ in bounds.values() for x in (low, high))
+
+
+@dataclass(frozen=True)
+class Carried:
+    """Order statistics of a column after steps that keep its order, from those of the column as it was.
+
+    ``found`` holds values of the column at some ranks; ``count`` of its values are present. ``filled`` and ``clipped`` say what
+    became of it. So the quantiles after a fill and a clip need no further look at the rows.
+    """
+
+    found: Mapping[int, float]
+    count: int
+    extra: int = 0
+    fill: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+
+    @staticmethod
+    def needed(count: int, extra: int, before: Sequence[float], after: Sequence[float]) -> set[int]:
+        """Ranks to look up for quantiles ``before`` and ``after`` the fill of ``extra`` missing values."""
+        spots = lambda n, ps: {r for p in ps for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+        later = spots(count + extra, after)
+        return {r for r in spots(count, before) | later | {r - extra for r in later} if 0 <= r < count}
+
+    def filled(self, value: float, extra: int) -> "Carried":
+        return replace(self, fill=value, extra=extra)
+
+    def clipped(self, low: float, high: float) -> "Carried":
+        return replace(self, low=low, high=high)
+
+    def at(self, rank: int) -> float:
+        # Of the values with copies of the fill among them, the rank is held by the middle of these three.
+        below = self.found[rank - self.extra] if rank >= self.extra else -math.inf
+        above = self.found[rank] if rank < self.count else math.inf
+        return min(max(max(below, min(self.fill, above)) if self.extra else above, self.low), self.high)
+
+    def quantile(self, p: float) -> float:
+        spot = p * (self.count + self.extra - 1)
+        return _between(self.at(math.floor(spot)), self.at(math.ceil(spot)), spot - math.floor(spot))
+
+
+def finite_bounds(df: DataFrame, columns: Mapping[str, Column], *more: Column) -> tuple[DataFrame, dict[str, tuple], dict]:
+    """The expressions as columns of finite doubles, (min, max, count) of those with values, and further aggregates of ``df``."""
+    values = df.select("*", *[_finite(x.cast("double")).alias(key) for key, x in columns.items()])
+    row = values.agg(*more, *[f(key).alias(f"{tag}{key}") for key in columns
+                              for tag, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first().asDict()
+    return values.select(*columns), {k: (row["lo" + k], row["hi" + k], row["n" + k]) for k in columns if row["n" + k]}, row
+
+
 def exact_quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float],
                     sort_limit: int = SORT_LIMIT) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles per named expression; None for one without values."""
-    names = {f"q{i}": name for i, name in enumerate(columns)}
-    values = df.select(*[_finite(columns[name].cast("double")).alias(key) for key, name in names.items()])
-    row = values.agg(*[f(key).alias(f"{tag}{key}") for key in names
-                       for tag, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
-    bounds = {k: (row["lo" + k], row["hi" + k], row["n" + k]) for k in names if row["n" + k]}
+    names = {f"__q{i}": name for i, name in enumerate(columns)}
+    values, bounds, _ = finite_bounds(df, {key: columns[name] for key, name in names.items()})
     spots = {k: [p * (bounds[k][2] - 1) for p in probabilities] for k in bounds}
     ranks = {k: {r for s in spots[k] for r in (math.floor(s), math.ceil(s))} for k in bounds}
     at = order_statistics(values, ranks, bounds, sort_limit)

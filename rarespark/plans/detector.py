@@ -13,7 +13,7 @@ from ..functions.columns import balanced_sum, col
 from ..functions.text import reason_text
 from ..operators import cells as c
 from ..operators.encode import Domains, discover
-from ..session import stage, with_row_id
+from ..session import stage, stage_until, with_row_id
 from ..sources.writers import KEEP_BLANKS
 
 REASONS = "array<struct<cols:array<string>,vals:array<string>>>"
@@ -90,8 +90,8 @@ class RarityResult:
             self.plan = c.CellPlan(self.columns, self.rows, cfg)
             self._count()
             self._find(started)
-        if cfg.results_folder:
-            self.save_breakdown()
+        #: Where the breakdown was written, if the settings name a folder.
+        self.dump_path = self.save_breakdown() if cfg.results_folder else None
 
     def __getitem__(self, key: str) -> DataFrame:
         tables = {"Scores": self.scores, "Breakdown All Rows": self.breakdown_all,
@@ -114,24 +114,28 @@ class RarityResult:
 
     def _find(self, started: float) -> None:
         budget = self.cfg.max_execution_seconds
+        self.planned_sets = len(self.plan.sets)
         if not budget:
             self.observed = stage(c.count_cells(self.patterns, self.groups, self.plan))
-            low = c.low_cells(self.cells(), self.plan)
-        else:  # one job per dimension, so that the clock can be read in between
-            self.observed, low = None, None
-            for d in range(1, self.plan.examined + 1):
-                if d > 1 and time.monotonic() - started > budget:
+        else:  # single columns are always counted; then batch by batch, until the time is up
+            self.observed, done = None, 0
+            for batch in self.plan.batches():
+                counted = c.count_cells(self.patterns, self.groups, self.plan, batch)
+                part = stage(counted) if not done else stage_until(counted, started + budget)
+                if part is None:
                     self.truncated = True
-                    self.plan.limit_to(d - 1)
+                    self.plan.keep_first(done)
                     break
-                part = stage(c.count_cells(self.patterns, self.groups, self.plan, d))
-                self.observed = part if d == 1 else self.observed.unionByName(part)
-            low = c.low_cells(self.cells(), self.plan)
-        self.flagged = c.minimal_cells(low)
-        for r in c.bit_words(self.flagged.select("pos", "key")).collect():
-            self.words.setdefault(r["pos"], {})[r["word"]] = r["bits"]
-        self.hits = None
-        if len(self.words) > LITERAL_SETS:
+                self.observed, done = part if not done else self.observed.unionByName(part), batch.stop
+        low = c.low_cells(self.cells(), self.plan)
+        self.flagged, self.hits = c.minimal_cells(low), None
+        dictionaries = any(x.dictionary is not None for x in self.columns)
+        if dictionaries:  # bits would grow with the labels, so only the sets that hold flagged cells are known here
+            self.words = {r["pos"]: {} for r in self.flagged.select("pos").distinct().collect()}
+        else:
+            for r in c.bit_words(self.flagged.select("pos", "key")).collect():
+                self.words.setdefault(r["pos"], {})[r["word"]] = r["bits"]
+        if dictionaries or len(self.words) > LITERAL_SETS:
             self.hits = stage(c.pattern_hits(self.patterns, self.groups, self.plan, self.flagged))
             self.hit_rows = {r["grp"]: r["bytes"] for r in self.hits.groupBy("grp").agg(
                 F.sum(F.size("hits") * 4 + 32).alias("bytes")).collect()}
@@ -272,13 +276,14 @@ class RarityResult:
 
     def cell_table(self, cells: DataFrame, dim: int | None = None) -> DataFrame:
         """Cells ``(pos, key, cnt)`` in readable form: dim, columns, values, rows, fraction."""
-        labels = F.lit([list(x.labels) for x in self.columns])
+        labels = F.lit([list(x.labels) or [""] for x in self.columns])
         names = F.lit([x.name for x in self.columns])
         sets = c.set_table(self.spark, self.plan)
         placed = cells.join(sets if dim is None else sets.where(F.col("dim") == dim), "pos")
-        return c.with_items(placed, self.plan).select(
+        label = c.item_value(self.columns, lambda it: F.get(F.get(labels, c.item_column(it)), c.item_code(it)), lambda m: F.col(f"__label{m}"))
+        return c.look_up(c.with_items(placed, self.plan), self.columns, "label").select(
             "dim", F.transform("items", lambda it: F.get(names, c.item_column(it))).alias("cols"),
-            F.transform("items", lambda it: F.get(F.get(labels, c.item_column(it)), c.item_code(it))).alias("vals"),
+            F.transform("items", label).alias("vals"),
             "cnt", (F.col("cnt") / F.lit(float(self.rows))).alias("frac"))
 
     def rare_cells(self, dim: int | None = None) -> DataFrame:
@@ -290,18 +295,25 @@ class RarityResult:
         return self.cell_table(self.cells(), dim)
 
     def combination_counts(self) -> DataFrame:
-        """Common and rare combinations per dimension, over all that are possible, seen or not."""
+        """Common and rare combinations per dimension, over all that are possible, seen or not.
+
+        A combination that no row holds is below every limit, so the rare ones of a column set are those of clean parts only, less
+        the clean ones. Neither the possible nor the unseen ones are listed.
+        """
         plan, spark = self.plan, self.spark
-        every = c.low_cells(c.all_cells(spark, plan, self.cells()), plan)
-        rare = c.minimal_cells(every).groupBy("dim").agg(F.count("*").alias("rare"))
         totals: dict[int, int] = {}
         for s in plan.sets:
             totals[s.dim] = totals.get(s.dim, 0) + s.product
         table = spark.createDataFrame([(d, totals.get(d, 0)) for d in range(1, plan.examined + 1)],
                                       "dim int, total bigint")
-        rare_count = F.coalesce(F.col("rare"), F.lit(0))
-        return table.join(rare, "dim", "left").select(
-            "dim", (F.col("total") - rare_count).alias("common"), rare_count.cast("bigint").alias("rare"))
+        clean = stage(c.clean_cells(self.cells(), c.low_cells(self.cells(), plan), plan))
+        single = spark.createDataFrame([(pos, s.product) for pos, s in enumerate(plan.sets) if s.dim == 1], "pos int, n bigint")
+        possible = single.unionByName(c.count_supported(clean, plan)) if plan.examined > 1 else single
+        kept = clean.groupBy("pos").agg(F.count("*").alias("clean"))
+        sets = F.broadcast(spark.createDataFrame([(pos, s.dim) for pos, s in enumerate(plan.sets)], "pos int, dim int"))
+        counted = possible.join(kept, "pos", "left").join(sets, "pos").groupBy("dim").agg(F.sum(F.col("n") - F.coalesce("clean", F.lit(0))).alias("rare"))
+        rare = F.coalesce("rare", F.lit(0)) if self.cfg.threshold > 0 else F.lit(0)  # nothing is below a limit of 0
+        return table.join(counted, "dim", "left").select("dim", (F.col("total") - rare).alias("common"), rare.cast("bigint").alias("rare"))
 
     def score_histogram(self) -> DataFrame:
         """Rows per score value and dimension."""
@@ -336,7 +348,8 @@ class RarityResult:
             lines += [f"Number of rows given score: {s:2}: {n:5}" for k, s, n in scores if k == d]
         if self.truncated:
             lines += ["", f"NOTE: the time budget (max_execution_seconds={self.cfg.max_execution_seconds}) "
-                          "was reached; higher dimensions were skipped."]
+                          "was reached; higher dimensions were skipped.",
+                      f"Column sets examined: {len(self.plan.sets)} of {self.planned_sets}"]
         lines.append("")
         for d in range(1, self.cfg.max_dimensions + 1):
             n = sum(rows for k, s, rows in scores if k == d and s > 0)

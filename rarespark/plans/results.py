@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import copy
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SWEEP_DIMENSIONS, SWEEP_THRESHOLDS
-from ..functions.columns import balanced_sum, category_text, col, present
+from ..functions.columns import category_text, col, present
 from ..functions.text import reason_lines, reason_text
 from ..operators import cells as c
-from .detector import DIMS, TOTAL, RarityResult
+from ..session import stage
+from .detector import BROADCAST_BYTES, DIMS, TOTAL, RarityResult
 
 TOP_ROWS = 50
 PAIR_VALUES = 25
@@ -100,30 +102,35 @@ def threshold_sweep(result: RarityResult, thresholds: Sequence[float] = SWEEP_TH
     """Share of rows flagged at each threshold, looking at up to two columns.
 
     Counts do not depend on the threshold, so they are taken from the run. A row is flagged exactly
-    if one of its cells is low: the smallest such cell contains no other.
+    if one of its cells is low: the smallest such cell contains no other. A cell that is low at one threshold is so at
+    all larger ones, so every pattern of rows has one threshold from which on it is flagged, and a sum over
+    these answers any number of thresholds at the cost of one.
     """
-    plan = result.plan
-    if plan is None:
-        return result.spark.createDataFrame([(float(t), 0.0) for t in thresholds], "threshold double, flagged_pct double")
-    small = [pos for pos, s in enumerate(plan.sets) if s.dim <= SWEEP_DIMENSIONS]
-    cells = result.cells().where(F.col("pos") < len(small))  # sets are listed by size
-    words: dict[int, dict[int, dict[int, int]]] = {}
-    low = None
-    for i, t in enumerate(thresholds):
-        part = c.low_cells(cells, plan, t).select(F.lit(i).alias("at"), "pos", "key")
-        low = part if low is None else low.unionByName(part)
-    for r in c.bit_words(low, "at").collect():
-        words.setdefault(r["at"], {}).setdefault(r["pos"], {})[r["word"]] = r["bits"]
-
-    def share(i: int):
-        hits = [F.expr(c.hit_sql(plan.sets[pos], w)) for pos, w in sorted(words.get(i, {}).items())]
-        flagged = F.when(balanced_sum(hits) > 0, F.col("cnt")).otherwise(0) if hits else F.lit(0)
-        return (F.sum(flagged) * 100.0 / F.sum("cnt")).alias(f"t{i}")
-
-    wide = result.coded_counts().agg(*[share(i) for i in range(len(thresholds))])
-    long = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").cast("double").alias("flagged_pct"))
-                     for i, t in enumerate(thresholds)])
-    return wide.select(F.inline(long))
+    spark, plan, ordered = result.spark, result.plan, sorted(map(float, thresholds))
+    if plan is None or not ordered:
+        return spark.createDataFrame([(float(t), 0.0) for t in thresholds], "threshold double, flagged_pct double")
+    small = copy(plan)
+    small.limit_to(SWEEP_DIMENSIONS)
+    levels = stage(c.pattern_levels(result.patterns, result.groups, small, c.low_levels(
+        result.cells().where(F.col("pos") < len(small.sets)), small, ordered)))  # sets are listed by size
+    if len(result.groups) == 1:
+        rows = result.patterns.join(levels, ["grp", "key"], "left")
+    else:
+        rows, found = result.coded_counts(), []
+        sizes, left = {r["grp"]: 24 * r["count"] for r in levels.groupBy("grp").count().collect()}, BROADCAST_BYTES
+        for g, size in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+            left -= size
+            one = levels.where(F.col("grp") == g).select(F.col("key").alias(f"__key{g}"), F.col("level").alias(f"__level{g}"))
+            key = F.expr(result.groups[g].key_sql()).alias(f"__key{g}")
+            rows = rows.select("*", key).join(F.broadcast(one) if left >= 0 else one, f"__key{g}", "left")
+            found.append(F.col(f"__level{g}"))
+        rows = rows.withColumn("level", F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("int"))
+    packed = (rows.groupBy("level").agg(F.sum("cnt").alias("cnt"))  # a row per threshold at most
+              .agg(F.collect_list(F.struct("level", "cnt")).alias("counted"), F.sum("cnt").alias("total")))
+    reached = lambda place: F.aggregate(F.filter("counted", lambda x: x["level"] <= place), F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"])
+    listed = F.transform(F.lit([float(t) for t in thresholds]), lambda t: F.struct(
+        t.alias("threshold"), (reached(F.array_position(F.lit(ordered), t) - 1) * 100.0 / F.col("total")).alias("flagged_pct")))
+    return packed.select(F.inline(listed))
 
 
 def audit_tables(result: RarityResult, params: Mapping[str, object] | None = None, n: int = TOP_ROWS) -> dict[str, DataFrame]:

@@ -1,10 +1,12 @@
+import time
 from itertools import combinations, product
 from math import comb, prod
 
 import pytest
 from pyspark.sql import functions as F
 
-from rarespark import RarityConfig, RarityDetector
+from rarespark import RarityConfig, RarityDetector, session
+from rarespark.operators import cells, codes
 from rarespark.operators.encode import bin_edges
 from rarespark.plans import detector, results
 
@@ -158,6 +160,43 @@ def test_numbers_spelled_in_many_ways(spark):
     assert run.columns[0].size == 30
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_labels_of_numbers_in_many_spellings_stay_off_the_driver(spark, monkeypatch, broadcast):
+    """The same table with labels listed and with labels in a dictionary gives the same cells, scores and reasons."""
+    if not broadcast:
+        monkeypatch.setattr(cells, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(detector, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(results, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(codes, "RANK_IN_ONE_TASK", 10)
+    i = F.col("id")
+    spelled = F.concat((i % 3).cast("string"), F.lit("."), F.repeat(F.lit("0"), F.when(i < 900, i % 40).otherwise(40 + i % 60).cast("int")))
+    df = spark.range(1000).select(i.alias("row_id"), F.when(i % 50 != 7, spelled).alias("s"),
+                                  F.when(i == 77, "odd").otherwise((i % 2).cast("string")).alias("t"), (i % 5).cast("string").alias("u"))
+    listed = df.withColumn("s", F.concat(F.lit("x"), F.coalesce("s", F.lit("nan"))))  # no numbers: up to 400 values are listed
+    made = RarityDetector(threshold=0.5, max_dimensions=3, check_marginal_probs=True).fit_predict(df, id_cols=["row_id"])
+    plain = RarityDetector(threshold=0.5, max_dimensions=3, check_marginal_probs=True, max_values_per_column=400).fit_predict(listed, id_cols=["row_id"])
+    assert made.columns[0].dictionary is not None and not made.columns[0].labels and plain.columns[0].dictionary is None
+    assert made.columns[0].size == plain.columns[0].size > 100
+
+    def seen(run, spell):
+        label = lambda c, v: spell(v) if c == "s" else v
+        reasons = lambda r: [[(c, label(c, v)) for c, v in zip(e["cols"], e["vals"])] for d in (1, 2, 3) for e in r[f"{d}d Explanations"] or []]
+        rows = sorted((r["row_id"], r["TOTAL SCORE"], reasons(r)) for r in run.breakdown_all().collect())
+        rare = sorted((r["dim"], [label(c, v) for c, v in zip(r["cols"], r["vals"])], r["cnt"]) for r in run.rare_cells().collect())
+        return rows, rare, results.threshold_sweep(run, [0.9, 0.1, 0.5]).collect(), sorted(map(tuple, run.combination_counts().collect()))
+    assert seen(made, lambda v: v) == seen(plain, lambda v: v[1:])
+
+
+def test_sweep_of_many_thresholds_and_groups(spark, staff_run):
+    """Each share is that of a run of its own, also where rows are counted in several groups of columns."""
+    some = [0.25, 0.003, 0.05]
+    grouped = RarityDetector(threshold=0.05, max_dimensions=2, max_group_patterns=60).fit_predict(staff(spark), id_cols=["row_id"])
+    assert len(grouped.groups) > 1
+    swept = {r["threshold"]: r["flagged_pct"] for r in results.threshold_sweep(staff_run, [k / 500 for k in range(200)] + some).collect()}
+    assert len(swept) == 201 and [r["flagged_pct"] for r in results.threshold_sweep(grouped, some).collect()] == [swept[t] for t in some]
+    assert results.threshold_sweep(staff_run, []).count() == 0
+
+
 def test_missing_values(spark):
     """Missing categories are a value of their own; missing numbers go where the median is."""
     df = spark.range(300).select(
@@ -192,6 +231,35 @@ def test_time_budget_keeps_one_dimension(spark):
     assert run.scores().count() == 600
 
 
+def test_time_budget_keeps_finished_column_sets(spark, monkeypatch):
+    """What was counted before the time was up stays; a set that was not counted flags nothing."""
+    whole = RarityDetector(threshold=0.5, max_dimensions=3).fit_predict(staff(spark), id_cols=["row_id"])
+    calls = []
+    real = detector.stage_until
+    monkeypatch.setattr(detector, "stage_until", lambda df, deadline: calls.append(1) or (real(df, deadline) if len(calls) < 4 else None))
+    run = RarityDetector(threshold=0.5, max_dimensions=3, max_execution_seconds=3600).fit_predict(staff(spark), id_cols=["row_id"])
+    kept = {s.members for s in run.plan.sets}
+    assert run.truncated and len(calls) == 4 and 5 < len(kept) < len(whole.plan.sets) and run.dimensions_examined == 2
+    assert f"Column sets examined: {len(kept)} of {len(whole.plan.sets)}" in run.run_summary()
+    names = [x.name for x in run.columns]
+    cells = lambda r: {(tuple(x["cols"]), tuple(x["vals"])) for x in r.rare_cells().collect()}
+    assert cells(run) == {x for x in cells(whole) if tuple(names.index(n) for n in x[0]) in kept} != cells(whole)
+
+
+def test_jobs_over_the_deadline_are_cancelled(spark):
+    def sleepy(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+    started = time.monotonic()
+    assert session.stage_until(spark.range(8).mapInPandas(sleepy, "id bigint"), started + 2) is None
+    assert time.monotonic() - started < 30
+    assert session.stage_until(spark.range(8), time.monotonic() - 1) is None
+    assert session.stage_until(spark.range(8), time.monotonic() + 60).count() == 8
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        session.stage_until(spark.range(8).selectExpr("1 div (id - id) AS x"), time.monotonic() + 60)
+
+
 def test_generous_time_budget_changes_nothing(spark, staff_run):
     run = RarityDetector(max_execution_seconds=3600).fit_predict(staff(spark), id_cols=["row_id"])
     assert not run.truncated

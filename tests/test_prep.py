@@ -78,6 +78,65 @@ def test_duplicates_with_and_without_ids(spark):
     assert prep.apply_preprocessing(df.drop("id"), only(drop_duplicates=True))[0].count() == 3
 
 
+@pytest.mark.parametrize("ids", [["id"], ["id", "c"], []])
+def test_duplicates_whatever_the_digests(spark, monkeypatch, ids):
+    """Equal digests of unlike rows cost work, not rows; missing values are told from each other by column."""
+    rows = [(i, f"t{i % 7}" if i % 5 else None, float(i % 3) if i % 4 else None) for i in range(200)] + [(500, None, 0.0), (501, None, -0.0)]
+    df = spark.createDataFrame(rows, "id long, c string, x double").repartition(4)
+    values = [n for n in df.columns if n not in ids]
+    want = {}
+    for row in rows:
+        row = dict(zip(df.columns, row))
+        key = tuple(row[n] for n in values)
+        want[key] = min(want.get(key, (1 << 40, "~")), tuple("" if row[n] is None else row[n] for n in ids)) if ids else ()
+
+    def distinct():
+        got = prep.drop_duplicates(df, ids).collect()
+        assert len(got) == len(want) and {tuple(r[n] for n in values) for r in got} == set(want)
+        if ids == ["id"]:
+            assert all(want[r["c"], r["x"]] == (r["id"],) for r in got)
+    distinct()
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
+    distinct()
+    monkeypatch.setattr(prep, "row_digest", lambda df, columns: [F.lit(1).cast("bigint").alias("__a"), F.lit(2).cast("bigint").alias("__b")])
+    distinct()
+
+
+def test_duplicates_shuffle_no_texts(spark, tmp_path):
+    spark.range(1000).select("id", F.repeat(F.col("id").cast("string"), 50).alias("text")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = prep.drop_duplicates(df.unionByName(df.where("id = 5").withColumn("id", F.lit(2000).cast("bigint"))), ["id"])._jdf.queryExecution().executedPlan().toString()
+    hashed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(hashed) == 1 and "BroadcastHashJoin" in plan  # the copies only
+
+
+@pytest.mark.parametrize("fill", ["none", "mean", "median", "zero", "drop_rows"])
+@pytest.mark.parametrize("texts", ["none", "drop_rows"])
+def test_quantiles_carried_through_the_chain(spark, fill, texts):
+    """Fill, clip and scale as one plan give what three separate looks at the rows give."""
+    i = F.col("id")
+    df = spark.range(997).select("id", F.when(i % 9 > 2, (i * i) % 611).cast("double").alias("x"), F.when(i % 10 > 0, (i % 4).cast("int")).alias("few"),
+                                 F.when(i % 7 > 0, i % 13 - 6).alias("whole"), F.lit(None).cast("double").alias("none"), F.when(i == 5, 2.5).alias("one"),
+                                 F.when(i % 6 > 0, "c").alias("c"))
+    numbers = ["x", "few", "whole"] if fill == "drop_rows" else ["x", "few", "whole", "none", "one"]
+    df = df.select("id", *numbers, "c")
+    cfg = PreprocessConfig(numeric_impute=fill, categorical_impute=texts, outlier_treatment="iqr_clip", iqr_factor=0.5, scaling="robust")
+    got = prep.apply_preprocessing(df, cfg, ["id"])[0]
+    want = prep.drop_missing_rows(df, numbers) if fill == "drop_rows" else prep.impute_numeric(df, numbers, fill) if fill != "none" else df
+    want = prep.drop_missing_rows(want, ["c"]) if texts == "drop_rows" else want
+    want = prep.scale_robust(prep.clip_iqr(want, numbers, 0.5), numbers)
+    assert got.dtypes == want.dtypes
+    rows = lambda d: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.orderBy("id").collect()]
+    assert rows(got) == rows(want) and got.count() > 400
+
+
+def test_chain_with_infinities(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(20)] + [(math.inf,), (None,)], "x double")
+    out = prep.apply_preprocessing(df, PreprocessConfig(outlier_treatment="iqr_clip", scaling="robust"))[0]
+    want = prep.scale_robust(prep.clip_iqr(prep.impute_numeric(df, ["x"], "median"), ["x"], 1.5), ["x"])
+    assert sorted(r["x"] for r in out.collect()) == sorted(r["x"] for r in want.collect())
+
+
 def test_high_missing(spark):
     df = spark.range(10).select("id", F.when(F.col("id") == 0, 1).alias("x"), F.when(F.col("id") < 2, 1).alias("y"))
     out, log = prep.apply_preprocessing(df, only(drop_high_missing=True))

@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from rarespark import session
 from rarespark.functions.text import reason_lines, safe_label, sanitize_for_spreadsheet
 from rarespark.plans import compare
 from rarespark.sources.catalog import Catalog, table_fingerprint
-from rarespark.sources.readers import files_with_line_breaks, load
+from rarespark.sources.readers import files_with_line_breaks, load, spanning_records
 from rarespark.sources.writers import export, export_result
 from rarespark import RarityDetector
 
@@ -185,3 +188,57 @@ def test_comparison_of_runs(spark, scored):
     assert [(r["a"], r["in_a"], r["in_b"], r["b"]) for r in diff] == [(0, False, True, "x"), (3, True, False, "w"), (9, False, True, None)]
     params = compare.compare_params(spark, {"t": 0.05, "z": 1}, {"t": 0.5, "a": None})
     assert [tuple(r) for r in params.collect()] == [("a", "—", "None"), ("t", "0.05", "0.5"), ("z", "1", "—")]
+
+
+def test_row_ids_of_files_need_no_copy(spark, tmp_path, monkeypatch):
+    """Rows of Parquet files are told by their place; what is not a plain read of files is stored."""
+    path = str(tmp_path / "rows with space%20.parquet")
+    spark.range(1000).select(F.col("id").alias("v"), F.lit("x").alias("__file")).repartition(3).write.parquet(path)
+    stored = []
+    monkeypatch.setattr(session, "stage", lambda df: stored.append(df.columns) or df)
+    rows = spark.read.parquet(path)
+    read = rows.where("v % 2 = 0").withColumn("w", F.col("v") + 1)
+    first, second = ({r["v"]: r["row_id"] for r in session.with_row_id(read).collect()} for _ in range(2))
+    assert first == second and len(set(first.values())) == 500 and all("v" not in s for s in stored)  # but names of files
+    assert {r["v"]: r["row_id"] for r in session.with_row_id(rows).collect()}.items() >= first.items()
+    one = spark.read.parquet(str(next((tmp_path / "rows with space%20.parquet").glob("*.parquet"))))
+    assert sorted(r["row_id"] for r in session.with_row_id(one).collect()) == list(range(one.count()))
+    stored.clear()
+    for df in (rows.unionByName(rows), rows.select(F.explode(F.array(F.lit(1), "v")).alias("v")), rows.join(rows.select("v"), "v"), rows.distinct(),
+               rows.withColumn("r", F.rand()), spark.range(3).withColumnRenamed("id", "v"), rows.limit(5)):
+        ids = [r["row_id"] for r in session.with_row_id(df).collect()]
+        assert len(set(ids)) == len(ids) == df.count()
+    assert [s[:2] for s in stored].count(["row_id", "v"]) == 7
+    monkeypatch.undo()
+    detector = RarityDetector(max_dimensions=1)
+    assert detector.fit_predict(rows.select("v", (F.col("v") % 3).cast("string").alias("c"))).scores().count() == 1000
+
+
+def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    """Small blocks, so that records begin and end anywhere; the same rows as the reader of whole files gives."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rng = random.Random(4)
+        quote = lambda t: '"' + t.replace('"', '""') + '"' if any(c in t for c in ',"\n\r') or rng.random() < 0.3 else t
+        folder = tmp_path / "many.csv"
+        folder.mkdir()
+        for k, eol in enumerate(("\n", "\r\n")):
+            lines = [",".join([str(k * 1000 + i), *(quote("".join(rng.choice(["a", "é", " ", ",", '"', "\n", "x y"]) for _ in range(rng.randrange(7))))
+                                                   for _ in range(2))]) for i in range(100)]
+            lines += [f'{k * 1000 + 500},5" pipe,plain', f'{k * 1000 + 501},"closed" early,"{"long " * 300}{eol}end"', "", f'{k * 1000 + 502},x,y']
+            (folder / f"{k}.csv").write_bytes((eol.join(["id,a,b", *lines]) + eol * k).encode())
+        path = str(folder)
+        records = spanning_records(spark, [f"{path}/0.csv", f"{path}/1.csv"], ",")
+        assert len(files_with_line_breaks(spark, path)) == 2 and records.count() == 206
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        whole = load(spark, path, multi_line=True).collect()
+        assert sorted(load(spark, path).collect(), key=repr) == sorted(whole, key=repr) and len(whole) == 206
+        write(tmp_path / "open.csv", 'a,b\n1,"never closed\nx\n')
+        assert [(r.a, r.b) for r in load(spark, str(tmp_path / "open.csv")).collect()] == [(1, "never closed\nx")]  # what is open ends with the file
+        write(tmp_path / "wide.csv", 'a,b\n1,"x\ny",3\n')
+        with pytest.raises(Exception, match="more fields than the header in .*wide.csv"):
+            load(spark, str(tmp_path / "wide.csv"), schema="a int, b string").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
