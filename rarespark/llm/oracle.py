@@ -25,18 +25,26 @@ FROM p JOIN g ON p.html = g.html"""
 
 
 def units(min_words: int) -> str:
+    """Every run spelled out; what is covered by a later one of equal content goes."""
+    unit = r"'(?:[^\n.!?]+|[.!?]+[^\x20\x09-\x0D.!?])*(?:[.!?]*[\x20\x09-\x0D]+|[.!?]+|\z)'"
+    plain = r"trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'))"
     return f"""
-WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-     u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-     o AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id, text ORDER BY i) - length(unit) - 1 AS start FROM u),
-     m AS (SELECT *, {WORDS.format('unit')} >= {min_words} AND row_number() OVER (
-             PARTITION BY trim(regexp_replace(lower(unit), '[\\x20\\x09-\\x0D]+', ' ', 'g')), {WORDS.format('unit')} >= {min_words}
-             ORDER BY doc_id NULLS LAST, md5(text), i) > 1 AS gone FROM o),
-     r AS (SELECT doc_id, text, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-             coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(unit) AS BIGINT), ' ' ORDER BY i) FILTER (gone), '') AS removed_spans,
-             coalesce(string_agg(unit, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept_text FROM m GROUP BY doc_id, text)
-SELECT r.doc_id, n_units, n_removed, removed_spans, kept_text FROM documents x
-JOIN r ON x.doc_id IS NOT DISTINCT FROM r.doc_id AND coalesce(x.text, '') = r.text"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+     u AS (SELECT k, unnest(list) AS unit, generate_subscripts(list, 1) AS i
+           FROM (SELECT k, list_filter(regexp_extract_all(text, {unit}), lambda x: x <> '') AS list FROM d)),
+     o AS (SELECT *, {plain} AS plain, {WORDS.format('unit')} AS n, sum({WORDS.format('unit')}) OVER w AS upto, sum(length(unit)) OVER w - length(unit) AS start
+           FROM u WINDOW w AS (PARTITION BY k ORDER BY i)),
+     e AS (SELECT s.k, s.i, min(t.i) AS j FROM o s JOIN o t ON s.k = t.k AND t.i >= s.i AND t.upto >= s.upto - s.n + {min_words} WHERE s.n > 0 GROUP BY s.k, s.i),
+     c AS (SELECT e.k, e.i, e.j, string_agg(plain, ' ' ORDER BY o.i) FILTER (plain <> '') AS content
+           FROM e JOIN o ON o.k = e.k AND o.i BETWEEN e.i AND e.j GROUP BY e.k, e.i, e.j),
+     x AS (SELECT c.*, row_number() OVER (PARTITION BY content ORDER BY doc_id NULLS LAST, md5(text), i) > 1 AS later FROM c JOIN d USING (k)),
+     m AS (SELECT o.*, EXISTS (SELECT 1 FROM x WHERE x.k = o.k AND later AND o.i BETWEEN x.i AND x.j) AS gone FROM o),
+     g AS (SELECT *, i - row_number() OVER (PARTITION BY k, gone ORDER BY i) AS island FROM m),
+     s AS (SELECT k, min(start) AS first, max(start + length(unit)) AS last FROM g WHERE gone GROUP BY k, island),
+     l AS (SELECT k, string_agg(CAST(first AS BIGINT) || ':' || CAST(last AS BIGINT), ' ' ORDER BY first) AS spans FROM s GROUP BY k),
+     r AS (SELECT k, count(*) FILTER (gone) AS n_removed, string_agg(unit, '' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY k)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(spans, '') AS removed_spans, coalesce(kept, '') AS kept_text
+FROM documents x JOIN d ON x.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(x.text, '') = d.text LEFT JOIN r USING (k) LEFT JOIN l USING (k)"""
 
 
 def vectors() -> str:
@@ -83,8 +91,12 @@ b AS (SELECT t.place, bundle, sum(size)::BIGINT AS bundle_size, any_value(coales
 h AS (SELECT t.place, z.bundle, shard, sum(size)::BIGINT AS shard_size, any_value(coalesce(bq.quota, 0)) AS seats
       FROM z JOIN t USING (known, name) LEFT JOIN bq ON bq.place = t.place AND bq.party = z.bundle GROUP BY t.place, z.bundle, shard),
 {_seats('hq', 'h', 'place, bundle', 'shard_size', 'seats', 'shard')},
-k AS (SELECT h.place, h.shard, shard_size, least(coalesce(hq.quota, 0) * {block}, 2 * shard_size) AS words
-      FROM h LEFT JOIN hq ON hq.place = h.place AND hq.bundle = h.bundle AND hq.party = h.shard),
+k0 AS (SELECT h.place, h.bundle, h.shard, shard_size, least(coalesce(hq.quota, 0) * {block}, 2 * shard_size) AS words, least(coalesce(sq.quota, 0) * {block}, 2 * t.source_size) AS source_words
+      FROM h JOIN t USING (place) LEFT JOIN sq ON sq.party = h.place LEFT JOIN hq ON hq.place = h.place AND hq.bundle = h.bundle AND hq.party = h.shard),
+k1 AS (SELECT place, bundle, sum(2 * shard_size - words) AS room, any_value(source_words) - sum(sum(words)) OVER (PARTITION BY place) AS surplus FROM k0 GROUP BY place, bundle),
+k2 AS (SELECT *, greatest(0, least(room, surplus - coalesce(sum(room) OVER (PARTITION BY place ORDER BY bundle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS extra FROM k1),
+k AS (SELECT place, shard, shard_size, words + greatest(0, least(2 * shard_size - words, extra - coalesce(sum(2 * shard_size - words) OVER (
+        PARTITION BY place, bundle ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS words FROM k0 JOIN k2 USING (place, bundle)),
 c AS (SELECT z.*, t.place, t.source_size, t.target,
       coalesce(sum(size) OVER (PARTITION BY known, name, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM z JOIN t USING (known, name))
