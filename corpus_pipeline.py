@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: of lines that repeat, the earliest stays; ``n_chars`` follows the text."""
+    """Substring dedup: of runs of lines and sentences that repeat, the earliest stays; ``n_chars`` follows the text."""
     return with_length(units.dedup_text(docs), docs)
 
 
