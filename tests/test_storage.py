@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,28 @@ def test_records_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_eight_writers_at_once(spark, tmp_path):
+    """No id is lost or given twice, equal content is stored once, and what one deletes stays deleted."""
+    root = str(tmp_path / "shared")
+    table = lambda i: spark.range(4).select(F.col("id").alias("a"), F.lit(i % 5).alias("TOTAL SCORE"))
+
+    def work(i):
+        own = Catalog(spark, root)
+        data = own.save_dataset(table(i), f"t{i}")
+        run = own.save_run(data, f"r{i}", {}, {}, table(i))
+        if i == 7:
+            own.delete_run(run)
+        return i, data, run
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(work, range(8)))
+    catalog = Catalog(spark, root)
+    assert sorted(r for _, _, r in done) == list(range(1, 9)) and {d for _, d, _ in done} == set(range(1, 6))
+    assert all(d == e for i, d, _ in done for j, e, _ in done if i % 5 == j % 5)
+    assert catalog.list_datasets().count() == 5 and catalog.list_runs().count() == 7
+    assert {r["label"] for r in catalog.list_runs().collect()} == {f"r{i}" for i in range(7)}
+    assert all(catalog.load_dataset(d).first()["TOTAL SCORE"] == i % 5 for i, d, _ in done)
+    assert len(list((tmp_path / "shared" / "data").iterdir())) == 5  # what lost the race is gone
+    names = sorted(p.name for p in (tmp_path / "shared" / "log").iterdir() if p.name.endswith(".json"))
+    assert names == [f"{v:012d}.json" for v in range(1, len(names) + 1)] and len(names) == 5 + 8 + 1
