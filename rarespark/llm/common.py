@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word, in every operator that counts words (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +31,18 @@ def held_out(remainder: int, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def send(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object together with the code of its class, so that workers need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    """The object of ``send``, made once per task."""
+    if "made" not in sent.__dict__:
+        sent.__dict__["made"] = pickle.loads(sent.value)
+    return sent.__dict__["made"]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches where the texts of ``column`` reach about ``limit`` bytes."""

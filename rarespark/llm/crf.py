@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, combine, eight_bytes, find_words, held_out, lower_ascii, mix, span_hashes, text_bytes
+from .common import chunks, combine, eight_bytes, find_words, held_out, received, send, lower_ascii, mix, span_hashes, text_bytes
 
 #: Most texts a language trains on, passages taken of each (spread over the whole text), words of a passage.
 TEXTS, PASSAGES, PASSAGE = 300, 12, 32
@@ -287,11 +287,12 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("switches"))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = send(documents.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(sent)
         for batch in chunks(batches):
-            model, n = sent.value, batch.num_rows
+            n = batch.num_rows
             _, _, docs, likely = model.label(batch.column("text"))
             total = np.column_stack([np.bincount(docs, weights=likely[:, k], minlength=n) for k in range(len(model.languages))])
             count = np.bincount(docs, minlength=n)
@@ -310,11 +311,12 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
 
 def spans(documents: DataFrame, model: Model) -> DataFrame:
     """``doc_id, start, stop, lang, score``: runs of words of one language, by bytes of the text, as labels inside it."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = send(documents.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(sent)
         for batch in chunks(batches):
-            starts, ends, docs, likely = sent.value.label(batch.column("text"))
+            starts, ends, docs, likely = model.label(batch.column("text"))
             top = likely.argmax(axis=1) if len(likely) else np.empty(0, int)
             head = np.flatnonzero(np.concatenate([[True], (top[1:] != top[:-1]) | (docs[1:] != docs[:-1])])) if len(top) else np.empty(0, int)
             tail = np.concatenate([head[1:], [len(top)]]) - 1 if len(head) else head
@@ -322,7 +324,7 @@ def spans(documents: DataFrame, model: Model) -> DataFrame:
             sure = np.add.reduceat(likely.max(axis=1), head) / (tail - head + 1) if len(head) else np.empty(0)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(docs[head])), pa.array((starts[head] - begin).astype(np.int64)), pa.array((ends[tail] - begin).astype(np.int64)),
-                pa.array([sent.value.languages[t] for t in top[head]], pa.string()), pa.array(np.round(sure, 6))], names=["doc_id", "start", "stop", "lang", "score"])
+                pa.array([model.languages[t] for t in top[head]], pa.string()), pa.array(np.round(sure, 6))], names=["doc_id", "start", "stop", "lang", "score"])
 
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "doc_id bigint, start bigint, stop bigint, lang string, score double")
 

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import chunks, find_words, held_out, span_hashes, sums, text_bytes, texts
+from .common import chunks, find_words, held_out, received, send, span_hashes, sums, text_bytes, texts
 from .fertility import repeated_window_words
 
 #: Most rows used for training.
@@ -216,11 +216,11 @@ def apply(documents: DataFrame, model: tuple[Network, float] | None) -> DataFram
     """``documents`` with ``__score`` and ``__prior`` by a trained model, from the column ``text``."""
     if model is None:
         return documents.withColumns({"__score": F.lit(0.5), "__prior": F.lit(None).cast("double")})
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = send(documents.sparkSession, model)
     schema = T.StructType([*documents.schema, T.StructField("__score", T.DoubleType()), T.StructField("__prior", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, prior = sent.value
+        network, prior = received(sent)
         for batch in chunks(batches):
             # Rounded: sums of a matrix product differ in their last digits with the number of rows beside.
             scores = np.round(network.score(features(batch.column("text"))), 6)
