@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,6 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import stage
 
 SEGMENT_ROWS, SEGMENT_BYTES = 1024, 4 << 20
+#: Repairs of short conversations that a task remembers.
+REPAIRS_KEPT = 50_000
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: Separators; all other characters are parts of words (fixed value).
 SPACE = " \t\n\v\f\r"
@@ -107,9 +108,8 @@ def search(codes: str, entry: int, finish: dict[int, tuple[int, str]], bounds: l
     return best
 
 
-@lru_cache(maxsize=50_000)
 def solve(codes: str) -> tuple[int, str]:
-    """Cost and audit of a whole conversation; conversations of equal codes have equal repairs."""
+    """Cost and audit of a whole conversation."""
     return search(codes, NONE, CLOSING, suffix_bounds(codes, CLOSING))
 
 
@@ -232,12 +232,17 @@ WHOLE = f"conv_id {{}}, {FIGURES}, audit string, segment bigint, roles array<str
 
 
 def _repair_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conversations of one segment."""
+    """Conversations of one segment; those of equal codes have equal repairs."""
+    known: dict[str, tuple[int, str]] = {}
     for batch in batches:
         out = []
         for turns, roles, texts, marks in zip(*(batch.column(n).to_pylist() for n in ("turns", "roles", "texts", "marks"))):
             codes, blank, repeated, truncated = faults(roles, texts, marks, set())
-            cost, audit = solve(codes)
+            if codes not in known:
+                if len(known) >= REPAIRS_KEPT:
+                    known.clear()
+                known[codes] = solve(codes)
+            cost, audit = known[codes]
             out.append((gaps(*spread(turns)), blank, repeated, truncated, illegal(roles), cost, audit, *apply_audit(audit, NONE, roles, texts)))
         figures = list(zip(*out)) if out else [()] * 9
         kinds = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
