@@ -10,15 +10,14 @@ Documents with equal sets are one class and enter with one representative. A buc
 
 1. every representative is compared with the least member of all its buckets;
 2. in buckets that still hold several groups, every member is compared with the least member;
-3. what is left in such buckets is compared across groups only, in blocks of bounded size within tasks: on full sets if
-   the signatures allow the similarity (five standard deviations of slack). A task returns a spanning forest of its links.
+3. what is left in such buckets is compared across groups only, in blocks of bounded size within tasks: on full sets if the signatures allow the similarity (five standard deviations of slack). A task returns a spanning forest of its links.
 
 At scale: texts are read twice and never shuffled. The second reading makes the full sets of candidates, told by a bitmap of
 fixed size over hashed ids. Grouped minima are combined per task; joins have stored tables on both sides, so that Spark
 splits a hot class or bucket. Intermediate tables lie in the shared folder.
 
 Documents without words link with nothing; missing texts count as such. A row without ``doc_id`` links with nothing and is kept. Equal
-rows belong together; a ``doc_id`` on several rows takes, row by row, the group of its text. An empty table gives an empty
+rows belong together; a ``doc_id`` on several rows takes, row by row, the group of its text, and joins no groups. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage, unstage
 from .common import bitmap, chunks, combine, find_words, in_bitmap, lower_ascii, mix, span_hashes, text_bytes, texts
@@ -42,7 +41,7 @@ BITMAP = 1 << 26
 #: Members of a bucket that a task compares at once.
 BLOCK = 1_024
 
-SIGNED = "doc_id bigint, digest binary, n_shingles bigint, signature binary, bands array<bigint>"
+SIGNED = "doc_id bigint, text_digest binary, digest binary, n_shingles bigint, signature binary, bands array<bigint>"
 SETS = "id bigint, part bigint, shingles binary"
 
 
@@ -117,10 +116,10 @@ def _sign(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     short = mix(signature.astype(np.uint64)).astype(np.uint16)
     ends = np.concatenate([[0], np.cumsum(np.where(counts > 0, BANDS, 0))])
     return pa.RecordBatch.from_arrays([
-        batch.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+        batch.column("doc_id"), batch.column("text_digest"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
         pa.array(counts, pa.int64()), pa.array([s.tobytes() for s in short], pa.binary()),
         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[counts > 0].ravel()))],
-        names=["doc_id", "digest", "n_shingles", "signature", "bands"])
+        names=["doc_id", "text_digest", "digest", "n_shingles", "signature", "bands"])
 
 
 def _part():
@@ -137,7 +136,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class Verifier:
-    """Confirms pairs ``a, a_part, b, b_part`` on the full shingle sets of their documents."""
+    """Confirms pairs ``a, a_part, a_node, b, b_part, b_node`` on the full shingle sets of their documents."""
 
     def __init__(self, documents: DataFrame, candidates: DataFrame, width: int, percent: int):
         self.percent = percent
@@ -157,7 +156,7 @@ class Verifier:
         self.sets = stage(read.mapInArrow(work, SETS))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``a, b`` of the pairs whose sets are similar enough, stored."""
+        """``a, b``, the nodes of the pairs whose sets are similar enough, stored."""
         percent = self.percent
         side = lambda x: self.sets.select(F.col("id").alias(x), F.col("part").alias(f"{x}_part"), F.col("shingles").alias(f"{x}_set"))
 
@@ -165,10 +164,10 @@ class Verifier:
             for batch in batches:
                 hit = [similar(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64), percent)
                        for a, b in zip(batch.column("a_set"), batch.column("b_set"))]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column("a_node"), batch.column("b_node")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
         full = pairs.join(side("b"), ["b", "b_part"]).join(side("a"), ["a", "a_part"])
-        return stage(full.select("a", "b", "a_set", "b_set").mapInArrow(work, "a bigint, b bigint"))
+        return stage(full.select("a_node", "b_node", "a_set", "b_set").mapInArrow(work, "a bigint, b bigint"))
 
 
 def _possible(percent: int):
@@ -197,12 +196,33 @@ def _block_pairs(rows: pa.RecordBatch, percent: int) -> Iterator[tuple[int, np.n
             yield x, y
 
 
+def _spread(members: DataFrame) -> DataFrame:
+    """Rows dealt to pairs of blocks of their bucket.
+
+    Groups of ``BLOCK`` members and more have blocks of their own, which need not meet each other; the rest shares blocks, which meet all.
+    """
+    groups = members.groupBy("band", "component").agg(F.count("*").alias("size"))
+    large = F.col("size") >= BLOCK
+    need = lambda n: F.ceil(n / BLOCK).cast("int")
+    groups = stage(groups.withColumn("need", F.when(large, need(F.col("size"))).otherwise(0)))
+    buckets = groups.groupBy("band").agg(need(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0))).alias("shared"), F.sum("need").alias("needed"))
+    # Groups that have blocks of their own are few: no more than a bucket's members by BLOCK.
+    before = Window.partitionBy("band").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    own = groups.where("need > 0").select("band", "component", "need", F.coalesce(F.sum("need").over(before), F.lit(0)).alias("before"))
+    placed = members.join(stage(buckets), "band").join(stage(own), ["band", "component"], "left")
+    first = (F.col("shared") + F.col("before")).cast("int")
+    spot = F.xxhash64("id", "part")
+    placed = placed.withColumn("own", F.when(F.col("need") > 0, first + F.pmod(spot, F.col("need")).cast("int"))
+                               .otherwise(F.pmod(spot, F.greatest("shared", F.lit(1))).cast("int")))
+    every = F.sequence(F.lit(0), (F.col("shared") + F.col("needed") - 1).cast("int"))
+    others = F.when(F.col("need") > 0, F.filter(every, lambda b: (b < first) | (b >= first + F.col("need")))).otherwise(every)
+    return placed.withColumn("other", F.explode(others)).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "node", "n", "component", "own", "signature", "bands")
+
+
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across groups within the buckets of ``members``: a spanning forest of them for each task."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(stage(sizes), "band").withColumn("own", F.pmod(F.xxhash64("id", "part"), F.col("blocks")).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "n", "component", "own", "signature", "bands")
+    spread = _spread(members)
 
     def possible(table: pa.Table) -> pa.Table:
         """The rows that stand in any pair worth verifying; only they need their sets."""
@@ -215,7 +235,7 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def verify(table: pa.Table) -> pa.Table:
         rows, parent = table.combine_chunks().to_batches()[0], {}
         full = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in rows.column("shingles")]
-        ids, groups = rows.column("id").to_pylist(), rows.column("component").to_pylist()
+        ids, groups = rows.column("node").to_pylist(), rows.column("component").to_pylist()
         found = []
         for x, y in _block_pairs(rows, percent):
             for k in y.tolist():  # groups that this task has joined need no further link
@@ -225,73 +245,82 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     keys = ["band", "i", "j"]
-    rows = stage(spread.groupBy(*keys).applyInArrow(possible, spread.schema))
+    # Dealt by block pairs: the rows come dealt by bucket, which would do for the grouping and put a hot bucket into one task.
+    rows = stage(spread.repartition(*keys).groupBy(*keys).applyInArrow(possible, spread.schema))
     return stage(rows.join(sets, ["id", "part"]).groupBy(*keys).applyInArrow(verify, "a bigint, b bigint"))
 
 
 def group(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, digest, component_id, kept`` of every row; links from ``percent`` percent similarity on."""
+    return _grouped(documents, width, percent).drop("text_digest", "component")
+
+
+def _grouped(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same with ``text_digest`` and ``component``, a number of the group."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             yield _sign(batch, width)
 
-    signed = stage(texts(documents).mapInArrow(sign, SIGNED))
+    signed = stage(texts(documents).withColumn("text_digest", F.unhex(F.md5("text"))).mapInArrow(sign, SIGNED))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id")))
+    # A class of equal sets is a node; its number is not its doc_id, which may stand on other texts too.
+    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     chosen = stage(full.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"]).dropDuplicates(["digest"])
-                   .select("id", _part().alias("part"), F.col("n_shingles").alias("n"), "signature", "bands"))
-    exploded = chosen.select("id", "part", "n", F.explode("bands").alias("band"))
-    leaders = stage(exploded.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("id", "part", "n")).alias("leader"))
+                   .select("id", _part().alias("part"), "node", F.col("n_shingles").alias("n"), "signature", "bands"))
+    exploded = chosen.select("id", "part", "node", "n", F.explode("bands").alias("band"))
+    leaders = stage(exploded.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "id", "part", "n")).alias("leader"))
                     .where("members > 1").select("band", F.col("leader.id").alias("a"), F.col("leader.part").alias("a_part"),
-                                                 F.col("leader.n").alias("a_n")))
-    buckets = stage(exploded.join(leaders, "band").select("band", "a", "a_part", "a_n", F.col("id").alias("b"), F.col("part").alias("b_part"),
-                                                          F.col("n").alias("b_n")))
+                                                 F.col("leader.node").alias("a_node"), F.col("leader.n").alias("a_n")))
+    left = ["a_node", "a", "a_part", "a_n"]  # the least node leads, so that links point where components end
+    buckets = stage(exploded.join(leaders, "band").select("band", *left, F.col("id").alias("b"), F.col("part").alias("b_part"),
+                                                          F.col("node").alias("b_node"), F.col("n").alias("b_n")))
     verifier = Verifier(documents, buckets.select(F.col("b").alias("id")).distinct(), width, percent)
-    other = (F.col("a") != F.col("b")) | (F.col("a_part") != F.col("b_part"))
-    tried = buckets.where(other).groupBy("b", "b_part", "b_n").agg(F.min(F.struct("a", "a_part", "a_n")).alias("x"))
-    tried = stage(tried.select("b", "b_part", "b_n", "x.*").where(_possible(percent)).select("a", "a_part", "b", "b_part"))
+    pair = ["a", "a_part", "a_node", "b", "b_part", "b_node"]
+    other = F.col("a_node") != F.col("b_node")
+    tried = buckets.where(other).groupBy("b", "b_part", "b_node", "b_n").agg(F.min(F.struct(*left)).alias("x"))
+    tried = stage(tried.select("b", "b_part", "b_node", "b_n", "x.*").where(_possible(percent)).select(*pair))
     links = verifier.links(tried)
     grouped = components(links)
 
     # Buckets with members of several groups.
-    marked = stage(buckets.join(grouped.withColumnRenamed("node", "b"), "b", "left")
-                   .withColumn("component", F.coalesce("component", "b")))
+    marked = stage(buckets.join(grouped.withColumnRenamed("node", "b_node"), "b_node", "left")
+                   .withColumn("component", F.coalesce("component", "b_node")))
     mixed = stage(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band"))
     rest = marked.join(mixed, "band", "left_semi")
-    pairs = (rest.where(other & _possible(percent)).select("a", "a_part", "b", "b_part").distinct()
-             .join(tried, ["a", "a_part", "b", "b_part"], "left_anti"))
+    pairs = rest.where(other & _possible(percent)).select(*pair).distinct().join(tried, ["a_node", "b_node"], "left_anti")
     links = stage(links.unionByName(verifier.links(pairs)))
     grouped = components(links)
 
-    again = stage(rest.select("band", F.col("b").alias("id"), F.col("b_part").alias("part")).join(
-        grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    again = stage(rest.select("band", F.col("b").alias("id"), F.col("b_part").alias("part"), F.col("b_node").alias("node")).join(
+        grouped, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = stage(again.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("band"))
-    members = stage(again.join(mixed, "band", "left_semi").join(chosen, ["id", "part"]))
+    members = stage(again.join(mixed, "band", "left_semi").join(chosen.drop("id", "part"), "node"))
     links = stage(links.unionByName(_blocks(members, verifier.sets, percent)))
     grouped = components(links)
     unstage(leaders, buckets, marked, again, members, verifier.sets, chosen)
 
-    named = stage(classes.join(grouped.withColumnRenamed("node", "id"), "id", "left")
-                  .select("digest", F.coalesce("component", "id").alias("component")))
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), component))
-    return out.select("doc_id", "n_shingles", "digest", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = stage(classes.join(grouped, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component")))
+    least = stage(named.groupBy("component").agg(F.min("id").alias("least")))
+    named = stage(named.join(least, "component").select("digest", "component", "least"))
+    out = signed.select("doc_id", "text_digest", "n_shingles", "digest").join(named, "digest", "left").withColumn(
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))))
+    return out.select("doc_id", "text_digest", "n_shingles", "digest", "component", "component_id",
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which no group holds an earlier one, with all their columns.
+    """One document of each group, that of the least ``doc_id``, with all its columns.
 
-    A ``doc_id`` goes if one of its rows is in an earlier document's group; its remaining rows with equal texts become one. Documents without words
+    If that ``doc_id`` stands on several texts of the group, the one with the least digest stays, and equal rows become one. Documents without words
     and rows without ``doc_id`` stay.
     """
-    gone = stage(group(documents, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    left = documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    doubled = stage(documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-                    .select(F.col("doc_id").alias("__gone")))
-    if not doubled.take(1):  # the rule: every doc_id stands once
+    rows = stage(_grouped(documents, width, percent).where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "text_digest", "component", "kept"))
+    first = rows.where("kept").groupBy("component").agg(F.min("text_digest").alias("first"))
+    names = [F.col("doc_id").alias("__gone"), F.col("text_digest").alias("__text")]
+    gone = stage(rows.join(first, "component").where(~F.col("kept") | (F.col("text_digest") != F.col("first"))).select(*names).distinct())
+    doubled = stage(rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("n")).where("n > 1").select(*names))
+    same = (F.col("doc_id") == F.col("__gone")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("__text"))
+    left = documents.join(gone, same, "left_anti")
+    if not doubled.take(1):  # the rule: every row stands once
         return left
-    single = left.join(doubled, F.col("doc_id") == F.col("__gone"), "left_anti")
-    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    several = left.join(doubled, F.col("doc_id") == F.col("__gone"), "left_semi")
-    return single.unionByName(several.where(worded).dropDuplicates(["doc_id", "text"])).unionByName(several.where(~worded))
+    return left.join(doubled, same, "left_anti").unionByName(left.join(doubled, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -89,6 +89,34 @@ def test_dense_bucket_of_unlike_texts(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
 
 
+def test_a_straggler_meets_a_large_group_once(spark, monkeypatch):
+    """Members of one group are not sent to each other's blocks: rows grow with the bucket, not with its square."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    rows = [(7, i, 1, i) for i in range(1000)] + [(7, 1000, 2, 1000)] + [(8, i, i, i) for i in range(30)] + [(9, i, i % 2, i) for i in range(100)]
+    members = spark.createDataFrame(rows, "band bigint, id bigint, component bigint, node bigint").withColumns(
+        {"part": F.lit(0).cast("bigint"), "n": F.lit(9).cast("bigint"), "signature": F.lit(b""), "bands": F.array(F.lit(1))})
+    dealt = minhash._spread(members).collect()
+    count = {b: sum(r.band == b for r in dealt) for b in (7, 8, 9)}
+    assert count[7] <= 1000 + 51 and count[8] == 30 * 2
+    meets = {}
+    for r in dealt:
+        meets.setdefault((r.band, r.i, r.j), []).append(r)
+    for band in (7, 8, 9):
+        own = [r for r in rows if r[0] == band]
+        pairs = {(x.id, y.id) for (b, i, j), m in meets.items() if b == band for x in m for y in m if x.id < y.id and (i == j or x.own != y.own)}
+        assert pairs >= {(x[1], y[1]) for x in own for y in own if x[1] < y[1] and x[2] != y[2]}
+
+
+def test_one_doc_id_on_unlike_texts_joins_nothing(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, word("a")), (2, word("b")), (5, word("a") + " x"), (5, word("b") + " y"), (9, word("c")), (9, word("c") + " z"), (9, word("d")), (9, word("d")), (10, word("d"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__gone", F.lit(0)).drop("__gone")
+    got = minhash.group(docs, 2).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 2)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(docs, 2).collect()]
+    assert sorted(kept)[:2] == [(1, word("a")), (2, word("b"))] and len(kept) == 4 and (9, word("d")) in kept
+
+
 def test_empty(spark):
     assert minhash.group(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
