@@ -62,9 +62,10 @@ def op2_conditional_random_field(spark, sf_dir):
 
 @register("op3_content_addressed_warc", oracle.warc())
 def op3_content_addressed_warc(spark, sf_dir):
-    path = scratch_path(spark, "archive")
+    path, files = scratch_path(spark, "archive"), scratch_path(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
-    return warc.verified(spark, path)
+    warc.write_warc(spark, path, files)
+    return warc.described(warc.read_warc(spark, files)).drop("url")
 
 
 @register("op4_product_quantisation", oracle.vectors())
