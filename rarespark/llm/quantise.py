@@ -17,7 +17,8 @@ vector (number of links, least vector joined in the task), never pairs, so dense
 grows with the table up to ``LISTS``.
 
 Vectors link with nothing if they or their label are missing, if they are zero, or hold missing or non-finite parts or another number of
-parts; a row without ``vec_id`` links with nothing and is kept. Equal rows are separate vectors. An empty table gives an empty
+parts; a row without ``vec_id`` links with nothing and is kept. Equal rows are separate vectors; a ``vec_id`` on several vectors has, row by
+row, the links of its vector, and joins no groups. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage, unstage
+from .common import received, send
 from .components import components
 
 SAMPLE, LISTS, BLOCK = 16_384, 2_048, 1_024
@@ -149,9 +151,10 @@ def link(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     vectors = stage(read.mapInArrow(clean, CLEAN))
     valid = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
     key = ["label", "digest"]
-    classes = stage(valid.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
+    # A class of equal vectors is a node; its number is not its vec_id, which may stand on other vectors too.
+    classes = stage(valid.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     # Vectors of different length are compared apart: their number of parts belongs to the label.
-    chosen = stage(valid.join(classes, [*key, "vec_id"]).dropDuplicates(key)
+    chosen = stage(valid.join(classes, [*key, "vec_id"]).dropDuplicates(key).withColumn("vec_id", F.col("node")).drop("node")
                    .withColumn("label", F.concat_ws(":", F.length("vector").cast("string"), "label")))
     shape = chosen.groupBy(F.length("vector").alias("bytes")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
     answers = [_search(chosen.where(F.length("vector") == s["bytes"]), least, s["n"], s["labels"]) for s in shape]
@@ -159,9 +162,11 @@ def link(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     for more in answers[1:]:
         found = found.unionByName(more)
     grouped = components(found.select("vec_id", "least"))
-    counted = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    named = stage(classes.join(counted, "vec_id", "left").join(grouped.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
-        *key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "vec_id").alias("component")))
+    counted = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("links"))
+    named = stage(classes.join(counted, "node", "left").join(grouped, "node", "left").select(
+        *key, "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("group")))
+    least = named.groupBy("group").agg(F.min("vec_id").alias("component"))
+    named = stage(named.join(least, "group").select(*key, "links", "component"))
     out = vectors.select("vec_id", *[F.when(F.col("vec_id").isNotNull(), F.col(k)).alias(k) for k in key]).join(named, key, "left")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
@@ -171,14 +176,15 @@ def _search(rows: DataFrame, least: float, n: int, labels: int) -> DataFrame:
     """Links and least joined vector of the rows, all of one length, from each pair of blocks."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
     lists = int(np.clip(-(-n // (labels * BLOCK)), 1, LISTS))
-    sent = rows.sparkSession.sparkContext.broadcast(Index(unit_rows(sample.column(0).combine_chunks()), lists))
+    sent = send(rows.sparkSession, Index(unit_rows(sample.column(0).combine_chunks()), lists))
     reach = float(np.sqrt(2 - 2 * least) + 1e-9)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = received(sent)
         for whole in batches:
             for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
-                own, far, codes, error = sent.value.code(unit_rows(batch.column("vector")))
-                probes = [np.flatnonzero(p).tolist() for p in sent.value.probes(own, far, reach)]
+                own, far, codes, error = index.code(unit_rows(batch.column("vector")))
+                probes = [np.flatnonzero(p).tolist() for p in index.probes(own, far, reach)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "label", "n", "vector")), pa.array(own, pa.int32()),
                                                   pa.array(probes, pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
                                                  names=[c.split()[0] for c in CODED.split(", ")])
@@ -206,7 +212,7 @@ def _search(rows: DataFrame, least: float, n: int, labels: int) -> DataFrame:
             sides.append({"id": column("vec_id").to_numpy(), "n": column("n").to_numpy(), "unit": unit_rows(column("vector")), "list": name["list"],
                           "code": np.array([np.frombuffer(c.as_buffer(), dtype=np.uint8) for c in column("code")]), "error": column("error").to_numpy()})
         left, right = sides[0], sides[-1]
-        linked = compare(sent.value, least, left, right, len(sides) == 1)
+        linked = compare(received(sent), least, left, right, len(sides) == 1)
         low_a, low_b = _least_joined(linked, left["id"], right["id"])
         links_a, links_b = linked @ right["n"], linked.T @ left["n"]
         parts = [(left["id"], links_a, np.minimum(low_a, low_b))] if len(sides) == 1 else [(left["id"], links_a, low_a), (right["id"], links_b, low_b)]

@@ -56,6 +56,13 @@ def test_every_link_is_found(spark, monkeypatch, n, d, spread, block):
     assert sorted(map(tuple, quantise.link(docs).collect()), key=repr) == brute(rows, 0.93)
 
 
+def test_one_vec_id_on_unlike_vectors_joins_nothing(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.0], 1), (5, [1.0, 0.1, 0.0], 1), (5, [0.1, 1.0, 0.0], 1), (5, [0.0, 0.0, 1.0], 1)]
+    got = quantise.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 0.93)
+    assert {(r.vec_id, r.component_id) for r in got} == {(1, 1), (2, 2), (5, 1), (5, 2), (5, 5)}
+
+
 def test_floats_and_empty(spark):
     rows = vectors(120, 8, 3, 0.3)
     docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
