@@ -8,9 +8,9 @@ the units at its ends that it shares with other words, and a repeated title or l
 offsets in the original text, and a removed unit always stands in some text that keeps it.
 
 At scale: texts are cut and hashed in Arrow batches, in one pass over every text. Digests are grouped with partial sums, so a run that stands in
-a third of all texts costs a record per task. The repeated digests are stored and joined back to the runs from two plain
-scans, a join whose hot keys Spark splits. Texts are shuffled once, beside the numbers of their removed units; those that
-lose any are cut in Arrow batches.
+a third of all texts costs a record per task. The repeated digests go back to the runs as a bitmap of fixed size, so no join
+makes a row for each of them; a join only returns the few runs that the bitmap takes for repeated by mistake, and these and the
+first of each digest are spared. Texts are shuffled once, beside the numbers of their removed units; those that lose any are cut in Arrow batches.
 
 Missing texts count as empty; rows with equal ``doc_id`` and text count as one document and lose the same units; a text of fewer words than a
 run loses nothing. An empty table gives an empty result; other columns pass through or are ignored.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage, unstage
-from .common import chunks
+from .common import bitmap, chunks, in_bitmap
 
 #: Words that a run must hold.
 MIN_WORDS = 20
@@ -35,6 +35,9 @@ MIN_WORDS = 20
 CUTS = {"sentence": r"(?:[^\n.!?]+|[.!?]+[^\x20\x09-\x0D.!?])*(?:[.!?]*[\x20\x09-\x0D]+|[.!?]+|\Z)",
         "line": r"[^\n]*(?:\n|\Z)", "paragraph": r"(?:[^\n]+|\n(?!\n))*(?:\n+|\Z)"}
 SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Bits of the bitmap that tells repeated digests; two may share one, which only costs work.
+BITMAP = 1 << 26
+RUNS = "doc_id {}, __key string, unit int, stop int, digest binary, spot bigint"
 
 
 def cut_units(text: str, unit: str) -> list[str]:
@@ -78,8 +81,10 @@ def _hasher(unit: str, min_words: int):
                     stop.append(j)
                     digest.append(d)
             at = pa.array(rows, pa.int64())
+            spot = np.frombuffer(b"".join(digest), dtype=np.int64)[::2]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__key").take(at), pa.array(first, pa.int32()),
-                                              pa.array(stop, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "__key", "unit", "stop", "digest"])
+                                              pa.array(stop, pa.int32()), pa.array(digest, pa.binary()), pa.array(spot)],
+                                             names=["doc_id", "__key", "unit", "stop", "digest", "spot"])
     return work
 
 
@@ -87,14 +92,25 @@ def removed_units(keyed: DataFrame, unit: str, min_words: int) -> DataFrame:
     """``__key, __gone``: the units that each document loses, as pairs of first and end, for documents that lose any."""
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "__key", "unit")
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    runs = stage(keyed.select("doc_id", "__key", "text")
-                 .mapInArrow(_hasher(unit, min_words), f"doc_id {kind}, __key string, unit int, stop int, digest binary"))
-    first = stage(runs.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-                  .where("first < last").select("digest", "first"))
-    gone = (runs.join(first, "digest").where(order > F.col("first"))
-            .groupBy("__key").agg(F.collect_set(F.struct("unit", "stop")).alias("__gone")))
-    out = stage(gone)
-    unstage(runs, first)
+    runs = stage(keyed.select("doc_id", "__key", "text").mapInArrow(_hasher(unit, min_words), RUNS.format(kind)))
+    first = stage(runs.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min("spot").alias("spot"))
+                  .where("first < last").select("digest", "spot", F.col("first.__key").alias("__key"), F.col("first.unit").alias("unit")))
+    sent = keyed.sparkSession.sparkContext.broadcast(bitmap(first, "spot", BITMAP))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = batch.filter(pa.array(in_bitmap(sent.value, batch.column("spot").to_numpy())))
+            if hit.num_rows:
+                yield hit.select(["__key", "unit", "stop", "digest"])
+
+    repeated = stage(runs.select("__key", "unit", "stop", "digest", "spot").mapInArrow(marked, "__key string, unit int, stop int, digest binary"))
+    mistaken = repeated.join(first.select("digest"), "digest", "left_anti")
+    spared = first.select("__key", "unit").unionByName(mistaken.select("__key", "unit"))
+    every = repeated.select("__key", "unit", "stop").unionByName(spared.withColumn("stop", F.lit(None).cast("int")))
+    # A run is told by its first unit; one that is spared also stands without an end.
+    gone = every.groupBy("__key", "unit").agg(F.max("stop").alias("stop"), F.count("*").alias("rows"), F.count("stop").alias("runs")).where("rows = runs")
+    out = stage(gone.groupBy("__key").agg(F.collect_list(F.struct("unit", "stop")).alias("__gone")))
+    unstage(runs, first, repeated)
     return out
 
 
