@@ -315,7 +315,7 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     and rows without ``doc_id`` stay.
     """
     rows = stage(_grouped(documents, width, percent).where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "text_digest", "component", "kept"))
-    first = rows.where("kept").groupBy("component").agg(F.min("text_digest").alias("first"))
+    first = stage(rows.where("kept").groupBy("component").agg(F.min("text_digest").alias("first")))  # so that the join has two plain sides
     names = [F.col("doc_id").alias("__gone"), F.col("text_digest").alias("__text")]
     gone = stage(rows.join(first, "component").where(~F.col("kept") | (F.col("text_digest") != F.col("first"))).select(*names).distinct())
     doubled = stage(rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("n")).where("n > 1").select(*names))
