@@ -155,6 +155,8 @@ class RarityResult:
             key = F.expr(self.groups[g].key_sql()).alias(f"__key{g}")
             coded = coded.select("*", key).join(one, f"__key{g}", "left")
             found.append(F.coalesce(F.col(f"__found{g}"), F.array().cast("array<int>")))
+        if not found:  # no pattern holds a flagged cell
+            return coded.withColumn("__hits", F.array().cast("array<int>"))
         return coded.withColumn("__hits", F.array_sort(F.concat(*found)) if len(found) > 1 else found[0])
 
     def _dim_hits(self, d: int) -> Column:

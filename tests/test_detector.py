@@ -187,6 +187,18 @@ def test_labels_of_numbers_in_many_spellings_stay_off_the_driver(spark, monkeypa
     assert seen(made, lambda v: v) == seen(plain, lambda v: v[1:])
 
 
+def test_a_dictionary_of_labels_and_nothing_flagged(spark):
+    """All rows score 0 where a column has a dictionary and no combination is rare."""
+    i = F.col("id")
+    spelled = F.concat((i % 3).cast("string"), F.lit("."), F.repeat(F.lit("0"), (i % 120).cast("int")))
+    df = spark.range(960).select(i.alias("row_id"), spelled.alias("s"), (i % 2).cast("string").alias("t"))
+    run = RarityDetector(threshold=0.01, max_dimensions=2).fit_predict(df, id_cols=["row_id"])
+    assert run.columns[0].dictionary is not None and run.rare_cells().count() == 0
+    rows = run.scored_rows().collect()
+    assert len(rows) == 960 and all((r["TOTAL SCORE"], r["2d Counts"], r["1d Explanations"], r["Any Scored"]) == (0, 0, [], False) for r in rows)
+    assert run.flagged_summary().first()["Percent Flagged"] == 0
+
+
 def test_sweep_of_many_thresholds_and_groups(spark, staff_run):
     """Each share is that of a run of its own, also where rows are counted in several groups of columns."""
     some = [0.25, 0.003, 0.05]
