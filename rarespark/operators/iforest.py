@@ -2,6 +2,10 @@
 
 Trees are grown in parallel, one small bounded sample each; scoring is a vectorised pass over the
 rows with the (equally bounded) trees broadcast.
+
+A tree that never saw a far row cannot tell it from the row at the edge of its sample: both take the same path. So, as in
+the forest with split criterion (Liu, Ting and Zhou, 2010), a split does not count for a row that lies out of the acceptable
+range of its column: the sample's range, and as much again on either side. Other rows score as in the plain forest.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ SAMPLE = 256
 FLAG_ABOVE = 0.5
 EULER_GAMMA = 0.5772156649015329
 
-NODES = "tree int, node int, feature int, split double, left int, right int, path double"
+NODES = "tree int, node int, feature int, split double, left int, right int, path double, least double, most double"
 
 
 def mean_path(n: float) -> float:
@@ -72,6 +76,8 @@ def tree_samples(df: DataFrame, rows: int, trees: int, size: int, seed: int) ->
 
 def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     nodes: list[list] = []
+    low, high = points.min(axis=0), points.max(axis=0)
+    least, most = low - (high - low), high + (high - low)
     todo = [(np.arange(len(points)), 0, None)]
     while todo:
         members, depth, parent = todo.pop()
@@ -81,12 +87,12 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
         part = points[members]
         spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
         if depth >= limit or len(spread) == 0:
-            nodes.append([me, -1, 0.0, -1, -1, depth + mean_path(len(members))])
+            nodes.append([me, -1, 0.0, -1, -1, depth + mean_path(len(members)), 0.0, 0.0])
             continue
         feature = int(rng.choice(spread))
         values = part[:, feature]
         split = float(rng.uniform(values.min(), values.max()))
-        nodes.append([me, feature, split, -1, -1, 0.0])
+        nodes.append([me, feature, split, -1, -1, 0.0, float(least[feature]), float(most[feature])])
         goes_left = values <= split
         todo.append((members[~goes_left], depth + 1, (me, 4)))
         todo.append((members[goes_left], depth + 1, (me, 3)))
@@ -102,7 +108,7 @@ def grow_forest(samples: DataFrame, features: Sequence[str], size: int, seed: in
         tree = int(pdf["tree"].iloc[0])
         points = pdf.sort_values(names)[names].to_numpy(dtype=float)
         nodes = _grow(points, np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
+        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path", "least", "most"])
         out.insert(0, "tree", tree)
         return out
 
@@ -120,7 +126,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], id_cols: Sequence[s
     forest = grow_forest(tree_samples(numbers.select(*names), rows, trees, size, seed), names, size, seed)
     grown = [g.sort_values("node") for _, g in forest.groupby("tree")]
     packed = df.sparkSession.sparkContext.broadcast(
-        [tuple(g[c].to_numpy() for c in ("feature", "split", "left", "right", "path")) for g in grown])
+        [tuple(g[c].to_numpy() for c in ("feature", "split", "left", "right", "path", "least", "most")) for g in grown])
     scale = mean_path(size) or 1.0
     depth = math.ceil(math.log2(max(size, 2)))
 
@@ -128,13 +134,16 @@ def isolation_scores(df: DataFrame, features: Sequence[str], id_cols: Sequence[s
         for pdf in batches:
             points = pdf[names].to_numpy(dtype=float)
             total, at = np.zeros(len(points)), np.arange(len(points))
-            for feature, split, left, right, path in packed.value:
+            for feature, split, left, right, path, least, most in packed.value:
                 node = np.zeros(len(points), dtype=np.int64)
+                passed, beyond = node.copy(), node.copy()
                 for _ in range(depth):
                     f = feature[node]
-                    below = points[at, np.maximum(f, 0)] <= split[node]
-                    node = np.where(f < 0, node, np.where(below, left[node], right[node]))
-                total += path[node]
+                    x = points[at, np.maximum(f, 0)]
+                    passed += f >= 0
+                    beyond += (f >= 0) & ((x < least[node]) | (x > most[node]))
+                    node = np.where(f < 0, node, np.where(x <= split[node], left[node], right[node]))
+                total += path[node] - np.minimum(beyond, np.maximum(passed - 1, 0))  # one split at least tells a row apart
             out = pdf[ids].copy()
             out["score"] = np.power(2.0, -(total / len(packed.value)) / scale) if packed.value else 0.0
             out["flagged"] = out["score"] > FLAG_ABOVE

@@ -20,6 +20,18 @@ def test_planted_points_score_highest(spark):
     assert out.count() == n and out.where("score <= 0 or score >= 1").count() == 0
 
 
+def test_extremes_that_no_tree_has_seen_score_highest(spark):
+    """One row far out and three less far, among so many that the samples miss them."""
+    n = 20000
+    far = F.when(F.col("row_id") == n, 1e7).when(F.col("row_id") > n, 3000.0)
+    df = spark.range(n + 4).withColumnRenamed("id", "row_id").select(
+        "row_id", F.coalesce(far, -10 * F.log(1 - uniform("x"))).alias("x"), F.coalesce(far, 60 * uniform("y")).alias("y"))
+    for seed in (0, 1, 2):
+        out = iforest.isolation_scores(df, ["x", "y"], ["row_id"], trees=40, size=64, seed=seed)
+        assert {r["row_id"] for r in out.orderBy(F.desc("score"), "row_id").limit(4).collect()} == {n, n + 1, n + 2, n + 3}
+        assert out.where("score > 0 and score < 1").count() == n + 4
+
+
 def test_samples_hold_the_asked_number_of_rows(spark):
     df = spark.range(5000).select(F.col("id").alias("f0"))
     sizes = {r["tree"]: (r["n"], r["d"]) for r in iforest.tree_samples(df, 5000, 20, 64, 0).groupBy("tree").agg(
