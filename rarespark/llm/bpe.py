@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from .common import chunks, texts
 
 #: Pieces up to this many bytes are merged directly; longer ones are halved.
 LEAF_BYTES = 24
-#: Distinct pieces a worker remembers.
+#: Above every rank: of two parts that do not merge.
+NO_RANK = 1 << 62
+#: Distinct pieces a worker remembers; when so many are new, those before them are forgotten.
 REMEMBERED = 200_000
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<bigint>"
@@ -47,27 +50,28 @@ class Encoder:
         self.ranks, self.pieces = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stable: dict[tuple[int, int], bool] = {}
 
     # -- encoding ---------------------------------------------------------------------------------
 
     def _merge(self, piece: bytes) -> list[bytes]:
         """Merge the leftmost pair of lowest rank until none is left; for short pieces."""
-        parts, ranks = [piece[i:i + 1] for i in range(len(piece))], self.ranks
-        found = [ranks.get(piece[i:i + 2]) for i in range(len(piece) - 1)]
-        while True:
-            best, at = None, -1
-            for i, rank in enumerate(found):
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        parts, rank = [piece[i:i + 1] for i in range(len(piece))], self.ranks.get
+        found = [rank(piece[i:i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while found:
+            best = min(found)
+            if best == NO_RANK:
+                break
+            at = found.index(best)
+            new = parts[at] + parts[at + 1]
+            parts[at:at + 2] = [new]
             del found[at]
             if at:
-                found[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                found[at - 1] = rank(parts[at - 1] + new, NO_RANK)
             if at < len(found):
-                found[at] = ranks.get(parts[at] + parts[at + 1])
+                found[at] = rank(new + parts[at + 1], NO_RANK)
+        return parts
 
     def _merge_long(self, piece: bytes) -> list[bytes]:
         """The same with a heap over linked parts, for long windows."""
@@ -129,9 +133,13 @@ class Encoder:
         return [piece] if piece in self.ranks else self._tree(piece)
 
     def _piece_ids(self, piece: str) -> bytes:
-        ids = np.array([self.ranks[t] for t in self.piece(piece.encode())], dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.piece(piece.encode())
+            ids = struct.pack(f"<{len(tokens)}I", *[self.ranks[t] for t in tokens])
         if len(piece) <= 64:
             if len(self.known) >= REMEMBERED:
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[piece] = ids
         return ids

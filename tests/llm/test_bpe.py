@@ -47,6 +47,18 @@ def test_joins_anywhere_give_the_whole(library):
         assert encoder._merge_long(piece) == encoder._merge(piece)
 
 
+def test_pieces_are_forgotten_by_age(library, monkeypatch):
+    """Ids stay the same when pieces are forgotten, and a piece among the last new ones is not encoded again."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    made, piece = [], encoder.piece
+    monkeypatch.setattr(encoder, "piece", lambda p: made.append(p) or piece(p))
+    words = [f" qz{chr(97 + i)}xv" for i in range(12)]
+    for text in [*words, words[5], words[5], *words]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert made.count(words[5].encode()) == 1 and len(encoder.known) + len(encoder.older) <= 16
+
+
 def test_table_with_gaps_and_extra_columns(spark, library):
     rows = [(1, "Of the, ühl"), (2, None), (3, ""), (3, ""), (None, "x y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_tokens", F.lit("clash"))
