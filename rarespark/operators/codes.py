@@ -10,6 +10,7 @@ from ..session import stage
 
 RANK_IN_ONE_TASK = 100_000  # distinct values that may be ranked in one task
 BROADCAST_BYTES = 64 << 20  # size of all dictionaries together that may be broadcast
+KEY_BYTES = 32  # values up to this size are their own key in a join
 NULL_SALTS = 1009  # over so many keys missing values are spread in a shuffled join
 
 
@@ -29,16 +30,19 @@ def _sizes(values: DataFrame) -> dict[int, tuple[int, int]]:
         F.count("*").alias("n"), F.sum(F.octet_length("value") + 16).alias("bytes")).collect()}
 
 
-def _ranked(values: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+def _ranked(values: DataFrame, sizes: dict[int, tuple[int, int]], kept: Column | None = None) -> DataFrame:
+    """``(at, value, code)``; ``kept`` replaces the values once they are sorted."""
+    kept = (F.col("value") if kept is None else kept).alias("value")
     if sum(n for n, _ in sizes.values()) <= RANK_IN_ONE_TASK and sum(b for _, b in sizes.values()) <= BROADCAST_BYTES:
-        return values.withColumn("code", F.row_number().over(Window.partitionBy("at").orderBy("value")) - 1)
-    ranged = stage(values.repartitionByRange("at", "value").withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("at", "part").agg(F.count("*").alias("n"))
+        return values.withColumn("code", F.row_number().over(Window.partitionBy("at").orderBy("value")) - 1).select("at", kept, "code")
+    # A partition holds one range in order, so the ids that grow within it number its values, and values move only once.
+    ranged = stage(values.repartitionByRange("at", "value").sortWithinPartitions("at", "value").select(
+        "at", kept, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+    sizes = ranged.groupBy("at", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("at", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("at", "part").orderBy("value")) - 1
-    return (ranged.withColumn("within", within).join(F.broadcast(starts), ["at", "part"])
-            .select("at", "value", (F.col("start") + F.col("within")).alias("code")))
+    starts = sizes.select("at", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return (ranged.join(F.broadcast(starts), ["at", "part"])
+            .select("at", "value", (F.col("start") + F.col("place") - F.col("first")).alias("code")))
 
 
 def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -48,17 +52,23 @@ def value_counts(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
             .groupBy("e.at", "e.value").agg(F.count("*").alias("n")))
 
 
+def value_key(value: Column) -> Column:
+    """What stands for a text value in a join: itself if short, else its SHA-256 in hex, which is longer than any short value."""
+    return F.when(F.octet_length(value) <= KEY_BYTES, value).otherwise(F.sha2(value, 256))
+
+
 def ordinal_codes(df: DataFrame, values: Mapping[str, Column], missing: int = -1, distinct: DataFrame | None = None) -> DataFrame:
     """Replace columns by the codes of the given text expressions; NULL gets ``missing``.
 
+    Codes are kept and joined by ``value_key``, so long values move only while they are counted and ranked.
     ``distinct`` is the stored table ``(at, value)`` of their values, if it is known.
     """
     names = list(values)
-    keyed = df.withColumns({f"__t{i}": values[n] for i, n in enumerate(names)})
+    keyed = df.withColumns({f"__t{i}": value_key(values[n]) for i, n in enumerate(names)})
     if distinct is None:
         distinct = stage(value_counts(df, values).select("at", "value"))
     sizes = _sizes(distinct)
-    codes, left = stage(_ranked(distinct, sizes)), BROADCAST_BYTES
+    codes, left = stage(_ranked(distinct, sizes, value_key(F.col("value")))), BROADCAST_BYTES
     for i in sorted(range(len(names)), key=lambda i: sizes.get(i, (0, 0))[1]):
         one = codes.where(F.col("at") == i).select(F.col("value").alias(f"__t{i}"), F.col("code").alias(f"__c{i}"))
         left -= sizes.get(i, (0, 0))[1]

@@ -236,3 +236,19 @@ def test_sample_found_past_the_head(spark):
 def test_datetime_suggestions(spark):
     df = spark.createDataFrame([("x", 1, datetime.date(2024, 1, 1), "y", "z")], "event_date string, width int, d date, plain string, Timestep string")
     assert profile.suggest_datetime_columns(df) == ["event_date", "width", "d", "Timestep"]
+
+
+def test_long_values_are_ranked_once_and_joined_by_key(spark, monkeypatch):
+    """Ranks of long texts with common beginnings; past the table of values no staged table holds a long text."""
+    monkeypatch.setattr(codes, "RANK_IN_ONE_TASK", 10)
+    monkeypatch.setattr(codes, "BROADCAST_BYTES", 0)
+    tables, stage = [], codes.stage
+    monkeypatch.setattr(codes, "stage", lambda df: tables.append(stage(df)) or tables[-1])
+    long = "x" * 500
+    texts = [None, "", "a" * 32, "a" * 33, "é" * 16, "é" * 17, *[f"{long}{i}" for i in range(60)], *[f"{i}" for i in range(30)], f"{long}7", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, t string").withColumn("u", F.when(F.col("row_id") % 3 > 0, F.concat(F.lit(long), F.col("row_id") % 5)))
+    rows = {r["row_id"]: (r["t"], r["u"]) for r in df.collect()}
+    rank = [{v: i for i, v in enumerate(sorted({r[k] for r in rows.values()} - {None}, key=str.encode))} | {None: -1} for k in (0, 1)]
+    got = {r["row_id"]: (r["t"], r["u"]) for r in prep.ordinal(df, ["t", "u"]).collect()}
+    assert got == {i: (rank[0][t], rank[1][u]) for i, (t, u) in rows.items()}
+    assert len(tables) > 1 and all(t.agg(F.max(F.octet_length("value"))).first()[0] <= 64 for t in tables[1:])
